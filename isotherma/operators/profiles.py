@@ -93,8 +93,8 @@ def heat_excess_layers(layers: DataFrame, key: Sequence[str] = ("cast_id",), k="
                        ref: float = REF_TEMP_C) -> DataFrame:
     """A5: heat above the isotherm from layer thicknesses, integrated from the surface.
 
-    Invalid layers keep their place with zero thickness. Layers above the crossing count whole, but for
-    the part of the last one that lies below the isotherm.
+    Invalid layers keep their place with zero thickness. An invalid layer above the crossing can pull the isotherm
+    up by several layers, so the depth is joined back to the layers before they are cut at it.
     """
     value = lambda c: F.col(c) if isinstance(c, str) else F.lit(float(c))
     valid = F.col(t).isNotNull() & F.col(s).isNotNull() & F.col(thickness_pa).isNotNull() & (F.col(thickness_pa) > 0)
@@ -103,19 +103,23 @@ def heat_excess_layers(layers: DataFrame, key: Sequence[str] = ("cast_id",), k="
     heat = F.greatest(F.col(t) - ref, F.lit(0.0)) * value(rho) * value(cp)
     rows = rows.withColumn("_heat", F.when(F.col("_valid"), heat).otherwise(0.0))
     rows = rows.select(*key, k, F.col(t).alias("_t"), "_valid", "_thk", "_heat")
-    rows = scan(rows, key, k, SEGMENT_LAYERS, carry=["_t", "_thk", "_heat", "_valid"], sums={"_bottom": F.col("_thk")})
+    rows = scan(rows, key, k, SEGMENT_LAYERS, carry=["_t", "_thk", "_valid"], sums={"_bottom": F.col("_thk")})
     top = F.col("_bottom") - F.col("_thk")
     z0, z1 = top - F.col("_prev._thk") / 2, top + F.col("_thk") / 2
     t0, t1 = F.col("_prev._t"), F.col("_t")
     d26 = F.when((t0 != t1), z0 + F.try_divide(t0 - ref, t0 - t1) * (z1 - z0))
-    cut = F.struct(d26.alias("d26"), (F.col("_prev._heat") * F.greatest(top - d26, F.lit(0.0))).alias("excess"))
-    out = until_first(rows, key, k, F.col("_valid") & (t1 <= ref), cut, {"heat": F.col("_heat") * F.col("_thk")})
-    warm = F.col("first_row._valid") & (F.col("first_row._t") >= ref)
-    d26 = F.when(warm, F.col("found.d26"))
-    ohc = F.when(d26.isNotNull(), F.col("heat") - F.col("found.excess"))
-    return out.select(*key, d26.alias("d26_m"), ohc.alias("ohc_j_per_m2"),
-                      (ohc * J_PER_M2_TO_KJ_PER_CM2).alias("tchp_kj_per_cm2"),
-                      F.when(F.col("first_row._valid"), F.col("first_row._t")).alias("surface_temp_c"))
+    scalars = rows.groupBy(*key).agg(
+        F.min_by(F.struct(d26.alias("d26")), F.when(F.col("_valid") & (t1 <= ref), F.col(k))).alias("cut"),
+        F.min("_head").alias("head"))
+    warm = F.col("head._valid") & (F.col("head._t") >= ref)
+    scalars = scalars.select(*key, F.when(warm, F.col("cut.d26")).alias("d26_m"),
+                             F.when(F.col("head._valid"), F.col("head._t")).alias("surface_temp_c"))
+    cut = rows.select(*key, "_bottom", top.alias("_top"), "_heat").join(scalars, list(key))
+    part = F.greatest(F.least("_bottom", "d26_m") - F.col("_top"), F.lit(0.0))
+    out = cut.groupBy(*key).agg(F.max("d26_m").alias("d26_m"), F.max("surface_temp_c").alias("surface_temp_c"),
+                                F.sum(F.when(F.col("d26_m").isNotNull(), F.col("_heat") * part)).alias("ohc_j_per_m2"))
+    return out.select(*key, "d26_m", "ohc_j_per_m2", (F.col("ohc_j_per_m2") * J_PER_M2_TO_KJ_PER_CM2).alias("tchp_kj_per_cm2"),
+                      "surface_temp_c")
 
 
 def heat_excess_zlevels(levels: DataFrame, key: Sequence[str] = ("cast_id",), z="depth_m", t="temp_c",
