@@ -208,12 +208,14 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
         target = ((F.col("_pos") * F.lit(a).cast("long") + 1 + r * 31) % n).alias("_to")
         moved = placed.withColumn("_to", target).join(placed.select(F.col("_pos").alias("_to"), *[F.col(f).alias(f"_m_{f}") for f in features]), "_to")
         for f in features:
-            swapped = moved.select(id_col, obs, base, *[F.col(f"_m_{f}").alias(f) if c == f else F.col(c) for c in features])
-            parts.append(predict_delta(model, swapped, features, base).agg(mae.alias("mae")).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "mae"))
+            # The base value of a row stays its own, also while it is moved as a feature.
+            swapped = moved.select(obs, F.col(base).alias("_base"), *[F.col(f"_m_{f}").alias(f) if c == f else F.col(c) for c in features if c != obs])
+            parts.append(predict_delta(model, swapped, features, "_base").agg(mae.alias("mae")).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "mae"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    gain = F.col("mae") - baseline.scalar()
+    out = out.withColumn("_base", baseline.scalar())
+    gain = F.col("mae") - F.col("_base")
     return out.groupBy("feature").agg(F.avg(gain).alias("importance"), F.coalesce(F.stddev_pop(gain), F.lit(0.0)).alias("spread"))
 
 
@@ -346,7 +348,7 @@ def corrected_layer(kind: str, grid: DataFrame, *, stride: int, surface="sst_c",
         return observations.select("dt", F.lit(kind).alias("layer"), "lat", "lon", F.col("obs_value").alias("value"))
     known = F.col(correction) if correction else F.lit(None).cast("double")
     value = {"tchp": F.col("tchp"), "d26": F.col("d26"), "correction": known,
-             "corrected": F.coalesce(F.greatest(F.col("tchp") + known, F.lit(0.0)), F.col("tchp"))}[kind]
+             "corrected": F.when((F.col("tchp") + known).isNotNull(), F.greatest(F.col("tchp") + known, F.lit(0.0))).otherwise(F.col("tchp"))}[kind]
     thin = stride_thin(grid, stride, surface, box, limit)
     return thin.select("dt", F.lit(kind).alias("layer"), "lat", "lon", value.alias("value")).where(F.col("value").isNotNull())
 

@@ -47,6 +47,10 @@ def _chord(km: float) -> float:
     return 2.0 * math.sin(min(km / (2 * EARTH_RADIUS_KM), math.pi / 2))
 
 
+def _km_of(chord: Column) -> Column:
+    return 2 * EARTH_RADIUS_KM * F.asin(F.least(chord / 2, F.lit(1.0)))
+
+
 def _box_gap(q: str, lo: str, hi: str) -> Column:
     return F.greatest(F.col(lo) - F.col(q), F.lit(0.0), F.col(q) - F.col(hi))
 
@@ -146,7 +150,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_cols: Seque
     last = levels + time_levels
     crowded = (F.col("cnt") > leaf) & (F.col("level") < last)
     q_keys = [*where_cols, *unames]
-    state = [*q_keys, *cube, "cnt", "near", "far", "near_t", "far_t"]
+    state = [*q_keys, *cube, "cnt", "near", "far", "near_t", "far_t", "cap"]
 
     def pruned(front: DataFrame) -> DataFrame:
         """Drop cubes that lie behind k surely valid points."""
@@ -158,27 +162,29 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_cols: Seque
         cap, cap_t = F.col("_cap.far"), F.col("_cap.far_t")
         behind = (F.col("near") > cap + SLACK) | (
             (F.col("near") == cap) & (F.col("far") == F.col("near")) & (F.col("near_t") > cap_t))
-        front = front.where(F.col("_cap").isNull() | ~behind).select(*state)
+        front = front.where(F.col("_cap").isNull() | ~behind).withColumn("cap", F.coalesce(cap, F.lit(10.0)))
+        front = front.select(*state)
         return front.withColumn("_busy", F.max(crowded.cast("int")).over(by_q))
 
-    # Neighbour cubes of the starting cube: two steps each way cover the cube's own diagonal.
-    steps = list(itertools.product(range(-2, 3), repeat=dims))
-    offsets = F.array(*[F.struct(*[F.lit(s).alias(f"d{i}") for i, s in enumerate(step)]) for step in steps])
-    t_steps = F.array(*[F.lit(s) for s in ((-1, 0, 1) if timed else (0,))])
-    front = q.select(*q_keys, *fine, "ft", "reach", F.col("start").alias("level"), F.explode(offsets).alias("_o"))
-    front = front.select("*", F.explode(t_steps).alias("_dt"))
-    side = F.pow(F.lit(float(BRANCH)), -F.col("level"))
-    base = [F.expr(f"shiftright({f}, {levels} - level) + _o.d{i}") for i, f in enumerate(fine)]
-    front = front.select(*q_keys, "level", "reach", *[b.alias(f"c{i}") for i, b in enumerate(base)],
-                         F.expr(f"shiftright(ft, {TIME_BITS * time_levels}) + _dt").alias("ct"))
-    gaps = [F.greatest(F.col(f"c{i}") * side - F.col(u), F.lit(0.0), F.col(u) - (F.col(f"c{i}") + 1) * side)
-            for i, u in enumerate(unames)]
+    # Cubes of the starting level that the ball of that reach touches, one axis at a time.
     limit = F.col("reach") if radius_km is None else F.least("reach", F.lit(_chord(radius_km)))
-    front = front.where(_norm(gaps) <= limit + SLACK)
+    t_steps = F.array(*[F.lit(s) for s in ((-1, 0, 1) if timed else (0,))])
+    front = q.select(*q_keys, F.col("start").alias("level"), limit.alias("_reach"), F.pow(F.lit(float(BRANCH)), -F.col("start")).alias("_side"),
+                     F.expr(f"shiftright(ft, {TIME_BITS * time_levels})").alias("_ft"))
+    front = front.select("*", F.lit(0.0).alias("_gap2"), F.explode(t_steps).alias("_dt"))
+    front = front.withColumn("ct", F.col("_ft") + F.col("_dt"))
+    for i, u in enumerate(unames):
+        first = F.greatest(F.floor((F.col(u) - F.col("_reach") - SLACK) / F.col("_side")), F.lit(0))
+        final = F.least(F.floor((F.col(u) + F.col("_reach") + SLACK) / F.col("_side")), F.floor(2.0 / F.col("_side")))
+        front = front.withColumn(f"c{i}", F.explode(F.sequence(first, final)))
+        low = F.col(f"c{i}") * F.col("_side")
+        gap = F.greatest(low - F.col(u), F.lit(0.0), F.col(u) - low - F.col("_side"))
+        front = front.withColumn("_gap2", F.col("_gap2") + gap * gap).where(F.col("_gap2") <= F.pow(F.col("_reach") + SLACK, 2))
     if metric == "great_circle":
         # The sphere has radius 1 around (1, 1, 1): a cube it does not cross is empty.
-        centre = [(F.col(f"c{i}") + 0.5) * side - 1.0 for i in range(dims)]
-        front = front.where(F.abs(_norm(centre) - 1.0) <= side * 0.8661)
+        centre = [(F.col(f"c{i}") + 0.5) * F.col("_side") - 1.0 for i in range(dims)]
+        front = front.where(F.abs(_norm(centre) - 1.0) <= F.col("_side") * 0.8661)
+    front = front.select(*q_keys, *cube)
     front = cut_lineage(pruned(measured(front.join(nodes, [*equi, *cube]))))
 
     parent = [f"p{i}" for i in range(dims)]
@@ -188,14 +194,14 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_cols: Seque
         F.expr(f"CASE WHEN level <= {levels} THEN ct ELSE shiftright(ct, {TIME_BITS}) END").alias("pt"))
     settled = []
     while True:
-        settled.append(front.where("_busy = 0").select(*q_keys, *cube))
-        active = front.where("_busy = 1").select(*state)
+        settled.append(front.where("_busy = 0").select(*where_cols, *cube, "cap"))
+        active = front.where("_busy = 1").select(*[c for c in state if c != "cap"])
         if active.isEmpty():
             break
         opened = active.where(crowded).select(
             *q_keys, (F.col("level") + 1).alias("level"), *[F.col(f"c{i}").alias(parent[i]) for i in range(dims)],
             F.col("ct").alias("pt"))
-        opened = measured(opened.join(finer, [*equi, "level", *parent, "pt"])).select(*state)
+        opened = measured(opened.join(finer, [*equi, "level", *parent, "pt"])).select(*active.columns)
         front = cut_lineage(pruned(active.where(~crowded).unionByName(opened)))
     leaves = settled[0]
     for more in settled[1:]:
@@ -212,6 +218,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_cols: Seque
     order = km if metric == "great_circle" else F.round(planar_deg2("lon", "lat", "p_lon", "p_lat"), 9)
     gap = F.abs(F.col("p_t") - F.col("t"))
     pairs = pairs.select("*", km.alias("distance_km"), order.alias("_order"), gap.alias("_gap"))
+    # The k-th point is no farther than the cap: drop what lies beyond before ranking.
+    beyond = F.col("_order") > (_km_of(F.col("cap")) + 1e-5 if metric == "great_circle" else F.pow(F.col("cap") * 180.0, 2) + 1e-6)
+    pairs = pairs.where(~beyond)
     if timed:
         pairs = pairs.where(F.col("_gap") <= window_s)
     if radius_km is not None:

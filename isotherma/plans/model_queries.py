@@ -59,7 +59,7 @@ def _(v):
 
 # Ridge on one feature has a closed form: slope = cov / (var + alpha / n).
 @query("m02_ridge_delta", f"""WITH tr AS (SELECT mlt_m AS x, o - p AS y FROM {PAIRS} t WHERE year <= 1998), s AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS cxy, var_pop(x) AS vx, count(*) AS n FROM tr)
-  SELECT cast_id, p + my + cxy/(vx + 1.0/n)*(mlt_m - mx) AS pred FROM {PAIRS} t, s WHERE year >= 1999""", "pred")
+  SELECT cast_id, p + my + cxy/(vx + 1.0/n)*(mlt_m - mx) AS pred FROM {PAIRS} t, s WHERE year >= 1999""", "pred", digits=3)
 def _(v):
     rows = table(v)
     train = rows.where("year <= 1998")
@@ -96,24 +96,24 @@ def _(v):
 @query("m07_grid_sweep")
 def _(v):
     rows = table(v)
-    settings = [{"trees": t, "depth": d, "rate": 0.1} for t in (3, 5) for d in (2, 3)]
+    settings = [{"trees": 3, "depth": d, "rate": 0.1} for d in (2, 3)]
     return models.grid_sweep(rows.where("year <= 1998"), rows.where("year = 1999"), "obs_date", {"base": FEATURES}, (2,), settings, obs=OBS, base=BASE)
 
 
 @query("m08_recipe_ablation")
 def _(v):
-    rows = table(v)
+    rows = cut_lineage(table(v))
     sets = {"place": ["lat", "lon"], "state": ["model_tchp", "model_d26"], "all": FEATURES, "needs_profiles": [*FEATURES, "model_n2_max_upper200_s2"]}
     return models.recipe_ablation(rows, forward(v, rows), "obs_date", sets, models.ridge_delta(1000), obs=OBS, base=BASE, optional=["model_n2_max_upper200_s2"])
 
 
 @query("m09_geography_ladder")
 def _(v):
-    rows = table(v).withColumn("tile", fn.tile15("lat", "lon"))
+    rows = cut_lineage(table(v).withColumn("tile", fn.tile15("lat", "lon")))
     sets = {"state": ["model_tchp", "model_d26"], "abslat": ["model_tchp", "model_d26", "abs_lat"], "geo": ["model_tchp", "model_d26", "abs_lat", "lat", "lon"]}
     parts = [models.recipe_ablation(rows, forward(v, rows), "obs_date", sets, models.ridge_delta(1000), obs=OBS, base=BASE, split="forward")]
     for split, group in (("tile", "tile"), ("platform", "platform")):
-        roles = cut_lineage(splits.group_roles(rows, group, 3))
+        roles = cut_lineage(splits.group_roles(rows, group, 2))
         parts.append(models.recipe_ablation(rows, roles, group, sets, models.ridge_delta(1000), obs=OBS, base=BASE, split=split))
     return metrics.ablation_increments(parts[0].unionByName(parts[1]).unionByName(parts[2]), list(sets))
 

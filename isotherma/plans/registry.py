@@ -20,11 +20,12 @@ class Query:
     build: Callable[[Views], DataFrame]
     numbers: tuple[str, ...]
     sql: str | None
+    digits: int = DIGITS
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """The result with its floating columns rounded, so that summation order does not show."""
         df = self.build(Views(tune(spark), sf_dir))
-        rounded = {c: F.round(F.col(c).cast("double") + OFF_TIE, DIGITS) + 0.0 for c in self.numbers}
+        rounded = {c: F.round(F.col(c).cast("double") + OFF_TIE, self.digits) + 0.0 for c in self.numbers}
         return df.select(*[rounded[c].alias(c) if c in rounded else F.col(c) for c in df.columns])
 
     def oracle(self) -> str | None:
@@ -32,7 +33,7 @@ class Query:
             return None
         text = self.sql.strip()
         if self.numbers:
-            replaced = ", ".join(f"round(CAST({c} AS DOUBLE) + {OFF_TIE}, {DIGITS}) + 0.0 AS {c}" for c in self.numbers)
+            replaced = ", ".join(f"round(CAST({c} AS DOUBLE) + {OFF_TIE}, {self.digits}) + 0.0 AS {c}" for c in self.numbers)
             text = f"SELECT * REPLACE ({replaced}) FROM (\n{with_views(text)}\n) AS q"
             return text
         return with_views(text)
@@ -41,11 +42,11 @@ class Query:
 CATALOG: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None, numbers: str = ""):
+def query(name: str, sql: str | None = None, numbers: str = "", digits: int = DIGITS):
     def register(fn: Callable[[Views], DataFrame]):
         if name in CATALOG:
             raise ValueError(f"query {name} is registered twice")
-        CATALOG[name] = Query(fn, tuple(numbers.split()), sql)
+        CATALOG[name] = Query(fn, tuple(numbers.split()), sql, digits)
         return fn
     return register
 
