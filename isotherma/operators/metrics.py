@@ -299,12 +299,18 @@ def suspicious_rows(df: DataFrame) -> DataFrame:
     return df.where((d26 < 0) | ((sst < 26) & (tchp > 0)) | ((sst >= 26) & d26.isNull()))
 
 
-def cluster_bootstrap_ci(df: DataFrame, obs: str, pred: str, date: str, reps: int = 1000,
-                         draw: tuple[int, int] = (7919, 104729)) -> DataFrame:
-    """Percentile intervals of MAE, RMSE and |bias| over resampled dates.
+def fixed_draw(rep: str, slot: str, size: str, xor=lambda a, b: f"({a} ^ {b})", div="div") -> str:
+    """SQL of a fixed pseudo-random draw in 0..size-1: two rounds of multiply and fold on 32 bits."""
+    h = f"((({rep} * 1000003 + {slot} + 1) * 1540483477) % 4294967296)"
+    h = f"(({xor(h, f'({h} {div} 65536)')} * 1540483477) % 4294967296)"
+    return f"({xor(h, f'({h} {div} 32768)')} % {size})"
 
-    Dates are drawn by a fixed arithmetic rule. Only per-date sums are resampled: a replicate's metric is a ratio of
-    sums of its dates. Replicates and positions are generated from each date, so nothing is crossed.
+
+def cluster_bootstrap_ci(df: DataFrame, obs: str, pred: str, date: str, reps: int = 1000) -> DataFrame:
+    """Percentile intervals of MAE, RMSE and |bias| over dates resampled with replacement.
+
+    Draws follow a fixed rule, so a run can be repeated. Only per-date sums are resampled: a replicate's metric is a ratio
+    of sums of its dates. Replicates are generated from each date, so nothing is crossed.
     """
     err = F.col(pred) - F.col(obs)
     rows = df.where(F.col(pred).isNotNull() & F.col(obs).isNotNull())
@@ -313,10 +319,9 @@ def cluster_bootstrap_ci(df: DataFrame, obs: str, pred: str, date: str, reps: in
     # Distinct dates are a calendar: bounded by days, not by rows.
     per_date = per_date.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(date)) - 1).withColumn(
         "_m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    a, b = draw
-    # Position i of replicate r draws date (r * a + i * b) mod m.
-    draws = per_date.select("_m", F.col("i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    draws = draws.select("rep", ((F.col("rep") * a + F.col("slot") * F.lit(b).cast("long")) % F.col("_m")).cast("int").alias("i"))
+    # Slot i of a replicate draws one date; a replicate has as many slots as there are dates.
+    draws = per_date.select(F.col("_m").cast("long").alias("m"), F.col("i").cast("long").alias("slot"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
+    draws = draws.select("rep", F.expr(fixed_draw("rep", "slot", "m")).cast("int").alias("i"))
     weights = draws.groupBy("rep", "i").agg(F.count(F.lit(1)).alias("w"))
     boot = weights.join(per_date.select("i", "n", "a", "b", "c"), "i").groupBy("rep").agg(
         *[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "a", "b", "c")])

@@ -73,15 +73,16 @@ def _explode_levels(df: DataFrame, cells: Sequence[str], levels: int, time_level
     return df.select("*", *ids, ct)
 
 
-def _level_count(points: DataFrame) -> int:
-    """Enough levels for about one point in a cube of evenly spread data."""
-    return min(MAX_LEVELS, max(3, math.ceil(math.log(max(points.count(), 1), 4)) + 1))
+def _level_count(points: DataFrame, equi: Sequence[str]) -> int:
+    """Enough levels for about one point in a cube of evenly spread data (of the largest ``equi`` group)."""
+    largest = points.groupBy(*equi).count().agg(F.max("count")).first()[0] or 1
+    return min(MAX_LEVELS, max(3, math.ceil(math.log(largest, 4)) + 1))
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_cols: Sequence[str], point_cols: Sequence[str],
              equi: Sequence[str] = (), metric: str = "great_circle", radius_km: float | None = None,
              time: str | None = None, window_h: float | None = None, coincident: bool = True,
-             tie: Sequence[str] = (), levels: int | None = None, leaf: int = 128) -> DataFrame:
+             tie: Sequence[str] = (), levels: int | None = None, leaf: int = 512) -> DataFrame:
     """The ``k`` nearest points of each query.
 
     Both sides have ``lat`` and ``lon`` (and the ``equi`` columns; and ``time``, in seconds as a double, when a
@@ -96,7 +97,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_cols: Seque
     timed = time is not None
     time_levels = TIME_LEVELS if timed else 0
     window_s = (window_h or 0.0) * 3600.0
-    levels = _level_count(points) if levels is None else levels
+    levels = _level_count(points, equi) if levels is None else levels
     fine = [f"f{i}" for i in range(dims)]
     cube = ["level", *[f"c{i}" for i in range(dims)], "ct"]
     top_id = 2 * BRANCH ** levels
