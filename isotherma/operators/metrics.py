@@ -186,6 +186,13 @@ def platform_leakage(train: DataFrame, test: DataFrame, platform="platform") ->
                        (F.col("test_rows_seen") / F.col("test_rows")).alias("row_share"))
 
 
+def platform_distances(test: DataFrame, support: DataFrame, key="cast_id") -> DataFrame:
+    """Rows per test year with a training profile of the same platform, and the median and 90 % distance to it."""
+    rows = test.select(key, "year").join(support.select(key, "support_km"), key)
+    counts = rows.groupBy("year").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.join(quantile_columns(rows, ["year"], "support_km", {"median_km": 0.5, "p90_km": 0.9}), "year")
+
+
 def _edge_array(df: DataFrame, value: str, bins: int) -> list[float]:
     """Distinct equal-quantile edges: ``bins`` + 1 numbers at most."""
     q = exact_quantiles(df, [], value, [i / bins for i in range(bins + 1)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 STATE = ["model_interp_tchp_kj_per_cm2", "model_interp_d26_m"]
 CALENDAR = ["year", "month_int", "month_sin", "month_cos", "doy_sin", "doy_cos", "is_winter_jfm", "is_summer_jas", "is_other"]
 PLACE = ["lat", "lon", "abs_lat"]
-BASE = CALENDAR + PLACE + ["nearest_grid_distance_km"] + STATE
+BASE = CALENDAR + PLACE + ["nearest_rtofs_grid_distance_km"] + STATE
 LAT_INTERACTIONS = ["model_ssh_x_abs_lat", "model_mlt_x_abs_lat", "model_temp_excess_x_abs_lat"]
 SURFACE = ["model_ssh_m", "model_mixed_layer_thickness_m", "model_surface_boundary_layer_thickness_m",
            "model_temp_excess_26c", "d26_minus_mlt_m", "d26_to_sblt_ratio"]
@@ -13,8 +13,9 @@ PROFILE_CORE = ["model_steric_1000_ref2000_m", "model_n2_max_upper200_s2", "mode
 STERIC_SURFACE = "model_steric_0_1000_m"
 BARRIER = "model_blt_dt02_m"
 NEIGHBOURHOOD = [f"model_{f}_{s}" for f in ("tchp", "d26", "sst") for s in ("local_std_1deg", "grad_mag_per_100km", "anom_from_1deg_mean")]
-STRATIFICATION = ["model_mld_sigma_m", "model_ild_m", "model_barrier_layer_thickness_m", "model_n2_max_near_mld_s2",
-                  "model_n2_max_above_mld_s2"]
+NEIGHBOURHOOD += ["model_tchp_local_std_2deg"]
+STRATIFICATION = ["model_n2_max_near_mld_s2", "model_n2_max_above_mld_s2", "model_barrier_layer_thickness_m", "model_ild_m"]
+OPTIONAL = ["model_ild_dt02_m", "model_blt_dt02_m"]
 
 
 def without(columns, *drop):

@@ -131,6 +131,12 @@ def _(v):
     return metrics.platform_leakage(v.casts.where("year <= 1998 AND platform % 3 < 2"), v.casts.where("year >= 1999"))
 
 
+@query("g12_platform_distances", f"""WITH n AS (SELECT te.cast_id, te.year, min({hav('te.lon', 'te.lat', 'tr.lon', 'tr.lat')}) AS km FROM fx_casts te JOIN fx_casts tr ON tr.platform = te.platform
+  AND tr.year <= 1998 WHERE te.year >= 1999 GROUP BY te.cast_id, te.year) SELECT year, count(*) AS rows, quantile_cont(km, 0.5) AS median_km, quantile_cont(km, 0.9) AS p90_km FROM n GROUP BY year""", "median_km p90_km")
+def _(v):
+    return metrics.platform_distances(v.casts.where("year >= 1999"), support(v, ["platform"]))
+
+
 QCUT = """e AS (SELECT list_sort(list_distinct(quantile_cont({x}, [{probs}]))) AS e FROM r), b AS (SELECT r.*, len(list_filter(e.e[2:-2], lambda q: {cmp})) AS bin, e.e AS edges FROM r, e)"""
 TENTHS = ", ".join(str(i / 10) for i in range(11))
 TWELFTHS = ", ".join(f"{i}/12.0::DOUBLE" for i in range(13))
@@ -441,3 +447,21 @@ def _(v):
 def _(v):
     _train, test = splits.year_holdout(labelled(v), [1995, 1996, 1997, 1998, 1999], [2000])
     return metrics.error_metrics(test, "obs_tchp", "model_tchp", "obs_date", ["region"])
+
+
+@query("w08_date_ordinals", "SELECT strftime(obs_date, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY obs_date) - 1 AS ordinal FROM (SELECT DISTINCT obs_date FROM fx_casts) t")
+def _(v):
+    return splits.date_ordinals(v.casts, "obs_date").select(F.col("obs_date").cast("string").alias("day"), F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("w09_average_ranks", "SELECT cast_id, rank() OVER (ORDER BY mlt_m) + (count(*) OVER (PARTITION BY mlt_m) - 1)/2.0 AS avg_rank FROM fx_casts", "avg_rank")
+def _(v):
+    from ..operators.ordered import average_ranks
+    return average_ranks(v.casts.select("cast_id", "mlt_m"), "mlt_m", "avg_rank").select("cast_id", "avg_rank")
+
+
+@query("w01_top_per_group", """SELECT platform, cast_id, rank FROM (SELECT platform, cast_id, row_number() OVER (PARTITION BY platform ORDER BY obs_tchp DESC NULLS LAST, cast_id) AS rank FROM fx_casts) t WHERE rank <= 2""")
+def _(v):
+    from ..operators.filters import top_per_group
+    rows = top_per_group(v.casts, ["platform"], 2, F.desc_nulls_last("obs_tchp"), F.asc("cast_id"))
+    return rows.select("platform", "cast_id", F.col("rank").cast("long").alias("rank"))

@@ -295,3 +295,18 @@ def _(v):
 def _(v):
     names = v.casts.select(F.concat(F.lit("field_v2_"), F.date_format("obs_date", "yyyyMMdd"), F.lit(".nc")).alias("file"))
     return readers.dates_from_names(names, "file")
+
+
+NAME = "CONCAT('model_interp_', replace(p_name, ' ', '_'), CASE p_partkey % 4 WHEN 0 THEN '_m' WHEN 1 THEN '_kj_per_cm2' WHEN 2 THEN '_km' ELSE '_ratio' END)"
+
+
+@query("f18_names_and_units", f"""SELECT p_partkey, regexp_replace(regexp_replace({NAME}, '^model_(interp_)?', ''), '_(kj_per_cm2|m|km|c|s2)$', '') AS short_name,
+  CASE p_partkey % 4 WHEN 0 THEN 'm' WHEN 1 THEN 'kJ/cm²' WHEN 2 THEN 'km' ELSE '–' END AS units FROM part""")
+def _(v):
+    names = v.table("part").select("p_partkey", F.expr(NAME).alias("name"))
+    return names.select("p_partkey", fn.short_name("name").alias("short_name"), fn.units_of("name").alias("units"))
+
+
+@query("p11_common_support", "SELECT cast_id FROM fx_casts WHERE obs_tchp IS NOT NULL AND model_tchp IS NOT NULL AND corrected_tchp IS NOT NULL AND obs_d26 IS NOT NULL")
+def _(v):
+    return flt.common_support(v.casts, ["obs_tchp", "model_tchp", "corrected_tchp", "obs_d26"]).select("cast_id")

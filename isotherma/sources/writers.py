@@ -31,18 +31,22 @@ def append_new(df: DataFrame, target: str, key: str) -> None:
     fresh.write.mode("append").parquet(target)
 
 
-def layer_documents(points: DataFrame, stride: int, bbox: list[float] | None = None) -> DataFrame:
+def layer_documents(points: DataFrame, stride: int, bbox: list[float] | None = None, max_points: int = 500_000) -> DataFrame:
     """One JSON document per date and layer.
 
-    A layer is a thinned map, so its points fit a document; the table of points itself is the scalable form.
+    A layer with more points than ``max_points`` is cut into ``parts`` documents by position, so no task builds an
+    unbounded document; together the parts hold every point.
     """
-    docs = points.groupBy("dt", "layer").agg(
-        F.count(F.lit(1)).alias("point_count"), F.min("value").alias("value_min"), F.max("value").alias("value_max"),
+    sizes = points.groupBy("dt", "layer").agg(F.ceil(F.count(F.lit(1)) / max_points).cast("int").alias("parts"))
+    rows = points.join(sizes, ["dt", "layer"])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("lat", "lon", "value"), F.col("parts")).cast("int"))
+    docs = rows.groupBy("dt", "layer", "part").agg(
+        F.first("parts").alias("parts"), F.count(F.lit(1)).alias("point_count"), F.min("value").alias("value_min"), F.max("value").alias("value_max"),
         F.sort_array(F.collect_list(F.struct("lat", "lon", "value"))).alias("points"))
     box = F.array(*[F.lit(float(b)) for b in bbox]) if bbox else F.lit(None).cast("array<double>")
-    body = F.struct(F.col("layer"), F.col("dt").cast("string").alias("time"), "point_count", F.lit(stride).alias("stride"),
+    body = F.struct(F.col("layer"), F.col("dt").cast("string").alias("time"), "part", "parts", "point_count", F.lit(stride).alias("stride"),
                     box.alias("bbox"), "value_min", "value_max", "points")
-    return docs.select("dt", "layer", F.to_json(body).alias("document"))
+    return docs.select("dt", "layer", "part", F.to_json(body).alias("document"))
 
 
 def export_layer(points: DataFrame, path: str, stride: int, bbox: list[float] | None = None) -> None:
