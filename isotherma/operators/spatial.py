@@ -47,10 +47,6 @@ def _chord(km: float) -> float:
     return 2.0 * math.sin(min(km / (2 * EARTH_RADIUS_KM), math.pi / 2))
 
 
-def _km_of(chord: Column) -> Column:
-    return 2 * EARTH_RADIUS_KM * F.asin(F.least(chord / 2, F.lit(1.0)))
-
-
 def _box_gap(q: str, lo: str, hi: str) -> Column:
     return F.greatest(F.col(lo) - F.col(q), F.lit(0.0), F.col(q) - F.col(hi))
 
@@ -134,6 +130,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_cols: Seque
     start = own.join(nodes.where(F.col("cnt") >= k), [*equi, *cube]).groupBy(*equi, *fine, "ft").agg(
         F.max("level").alias("start"), *[F.max_by(e, "level").alias(f"own_{e}") for e in extent])
     q = q.join(start, [*equi, *fine, "ft"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    if radius_km is not None:
+        # No coarser than the radius: a few cubes of its size cover the ball.
+        q = q.withColumn("start", F.greatest("start", F.lit(min(levels, max(0, int(-math.log2(_chord(radius_km))))))))
     # Its k points are no farther than the far corner of what that cube holds.
     q = q.withColumn("reach", F.coalesce(_norm([_box_reach(u, f"own_lo_{u}", f"own_hi_{u}") for u in unames]), F.lit(10.0)))
 
@@ -195,7 +194,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_cols: Seque
         F.expr(f"CASE WHEN level <= {levels} THEN ct ELSE shiftright(ct, {TIME_BITS}) END").alias("pt"))
     settled = []
     while True:
-        settled.append(front.where("_busy = 0").select(*where_cols, *cube, "cap"))
+        settled.append(front.where("_busy = 0").select(*q_keys, *cube, "cap"))
         active = front.where("_busy = 1").select(*[c for c in state if c != "cap"])
         if active.isEmpty():
             break
@@ -212,16 +211,15 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, *, query_cols: Seque
     # Exact distances against the points of the remaining cubes.
     payload = [c for c in dict.fromkeys([*point_cols, *tie]) if c not in equi]
     p_keyed = _explode_levels(p, fine, levels, time_levels, used).select(
-        *equi, *cube, *[F.col(c).alias(f"pc_{c}") for c in payload], F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
+        *equi, *cube, *[F.col(u).alias(f"p_{u}") for u in unames], *[F.col(c).alias(f"pc_{c}") for c in payload], F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
         F.col("t").alias("p_t"))
     pairs = leaves.join(p_keyed, [*equi, *cube])
+    # The k-th point is no farther than the cap: drop what lies beyond before ranking, by straight-line distance first.
+    pairs = pairs.where(_norm([F.col(u) - F.col(f"p_{u}") for u in unames]) <= F.col("cap") + SLACK)
     km = F.round(haversine_km("lon", "lat", "p_lon", "p_lat"), DISTANCE_DIGITS)
     order = km if metric == "great_circle" else F.round(planar_deg2("lon", "lat", "p_lon", "p_lat"), 9)
     gap = F.abs(F.col("p_t") - F.col("t"))
     pairs = pairs.select("*", km.alias("distance_km"), order.alias("_order"), gap.alias("_gap"))
-    # The k-th point is no farther than the cap: drop what lies beyond before ranking.
-    beyond = F.col("_order") > (_km_of(F.col("cap")) + 1e-5 if metric == "great_circle" else F.pow(F.col("cap") * 180.0, 2) + 1e-6)
-    pairs = pairs.where(~beyond)
     if timed:
         pairs = pairs.where(F.col("_gap") <= window_s)
     if radius_km is not None:
