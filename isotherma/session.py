@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,19 +42,31 @@ def local_session(cpus: str = "8", memory: str = "20g") -> SparkSession:
     return tune(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder comes from ``spark.checkpoint.dir``; only a local master without that
-    setting gets a folder of its own.
+    Only a local master without that setting gets a folder of its own, as in tests.
     """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="isotherma-ckpt-")
+        spark.sparkContext.setCheckpointDir(shared)
+        shared = spark.sparkContext.getCheckpointDir()
+    return shared
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder of the cluster."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="isotherma-ckpt-")
-        sc.setCheckpointDir(shared)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write as Parquet to a new place in the shared folder and read back: cuts the lineage and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
