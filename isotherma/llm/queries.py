@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, tune
-from . import blob_ledger, mixing, slot_table
+from . import blob_ledger, importance, line_chunks, mixing, rarity_digest, slot_table, token_files, warc_bundles
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 MIX_WEIGHTS = [3, 1, 2]
@@ -23,11 +23,30 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def op1_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cleaned text."""
+    return line_chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    folder = new_folder(spark, "tokens")
+    token_files.write_shards(table(spark, sf_dir, "documents"), folder, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, folder)
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, 1.5, 2.0, MIX_SEED)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_rarity_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts = rarity_digest.level_counts(docs).collect()  # at most 1024 rows
+    return rarity_digest.compare_with_next(docs, rarity_digest.rank_table([(r["level"], r["n"]) for r in counts]))
+
+
 OP3_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -103,5 +122,18 @@ def op7_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slot_table.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
 
-LLM_QUERIES = {q.__name__: q for q in (op3_source_mixing, op5_secret_scan, op7_slot_sharding)}
+def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return importance.resample(docs, labels).where("kept").select("doc_id", "score", "gumbel_key")
+
+
+def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc_bundles.write_bundles(table(spark, sf_dir, "pages"), folder)
+    return warc_bundles.read_bundles(spark, folder)
+
+
+LLM_QUERIES = {q.__name__: q for q in (
+    op1_line_chunks, op2_token_files, op3_source_mixing, op4_rarity_digest, op5_secret_scan, op7_slot_sharding, op8_importance, op10_warc_bundles)}
 LLM_SQL = {"op3_source_mixing": OP3_SQL, "op5_secret_scan": OP5_SQL}
