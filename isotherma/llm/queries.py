@@ -125,7 +125,8 @@ def op7_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are kept."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    return importance.resample(docs, labels).where("kept").select("doc_id", "score", "gumbel_key")
+    decision = importance.decide(docs, labels)
+    return decision.scores.where(decision.kept())
 
 
 def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
