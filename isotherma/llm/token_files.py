@@ -15,11 +15,13 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,53 +31,94 @@ from . import elias_fano
 from .store import opened
 
 HEAD = "<QQQ"
-CACHED = 600_000  # chunks of text whose ids a worker keeps
+CACHED = 600_000  # chunks in each of two generations, and half as many pieces, whose ids a worker keeps
 LONGEST = 48  # characters of a chunk that is kept
+BEYOND = "\u0250"  # letters below are classed alike by all libraries
 END = 0
 MANIFEST = "part long, name string, docs long, ids long"
 ROWS = 4_000
 
 
+class Kept:
+    """Two generations of what was computed: the older one goes when the younger is full, but for what was used meanwhile."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def add(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class ChunkEncoder:
     """The tokenizer's ids as bytes.
 
-    Byte-level BPE never merges across the start of a word, so a text may be cut before each single space that stands between two
-    characters that aren't white space: each chunk has the same ids alone as within the text. The ids of short chunks are kept.
+    Byte-level BPE merges within the pieces of its splitting pattern only. So a text may be cut before each single space that stands
+    between two characters that aren't white space, and a chunk into those pieces, without changing the ids; ids of short chunks and
+    pieces are kept. Texts with special tokens and chunks beyond Latin letters go to the tokenizer as they are.
     """
 
     single_space = re.compile(r"(?<=\S) (?=\S)")
-    double_gap = re.compile(r"\s\s|^\s|\s$")
 
     def __init__(self, path: str) -> None:
+        import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model = self.tokenizer.model
+        self.splits = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
+        self.pieces = regex.compile(public_tokenizers.PATTERN)
+        self.width = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.width == "H" else "<u4")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def plain(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        self.byte_letter = byte_letters()
+        self.chunks, self.parts = Kept(CACHED), Kept(CACHED // 2)
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+
+    def piece(self, text: str) -> bytes:
+        found = self.parts.old.get(text)
+        if found is None:
+            spelled = text.encode().decode("latin-1").translate(self.byte_letter)
+            found = array(self.width, [x.id for x in self.model.tokenize(spelled)]).tobytes()
+        self.parts.add(text, found)
+        return found
+
+    def chunk(self, text: str) -> bytes:
+        """Ids of a space and the chunk."""
+        found = self.chunks.old.get(text)
+        if found is None:
+            if len(text) > LONGEST or not text or max(text) >= BEYOND:
+                return self.plain(" " + text)
+            young = self.parts.young
+            found = b"".join([young.get(x) or self.piece(x) for x in self.pieces.findall(" " + text)])
+        self.chunks.add(text, found)
+        return found
 
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return self.plain([text])[0]
-        chunks = self.single_space.split(text) if self.double_gap.search(text) else text.split(" ")
-        head = self.plain(chunks[:1])[0] if chunks[0] else b""
+        if not self.splits or any(x in text for x in self.special):
+            return self.plain(text)
+        chunks = text.split(" ")
+        if len(text.split()) != len(chunks) + text.count("\n"):  # white space next to white space, or of another kind
+            chunks = self.single_space.split(text)
+        head = self.plain(chunks[0]) if chunks[0] else b""
         del chunks[0]
-        try:
-            return head + b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            pass
-        new = list({x for x in chunks if x not in self.known})
-        got = dict(zip(new, self.plain([" " + x for x in new])))
-        kept = self.known
-        out = head + b"".join([got[x] if x in got else kept[x] for x in chunks])
-        if len(kept) + len(got) > CACHED:
-            kept.clear()
-        kept.update((x, ids) for x, ids in got.items() if len(x) <= LONGEST)
-        return out
+        found = list(map(self.chunks.young.get, chunks))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self.chunk(chunks[at])
+        return head + b"".join(found)
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies spell each byte: printable ones themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in shown]
+    return {x: chr(x) for x in shown} | {x: chr(256 + k) for k, x in enumerate(hidden)}
 
 
 @cache
