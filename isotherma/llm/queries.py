@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, tune
-from . import blob_ledger, importance, line_chunks, mixing, rarity_digest, slot_table, token_files, warc_bundles
+from . import blob_ledger, importance, line_chunks, mixing, rarity_digest, slot_table, superminhash, token_files, warc_bundles
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 MIX_WEIGHTS = [3, 1, 2]
@@ -129,6 +129,11 @@ def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.scores.where(decision.kept())
 
 
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = superminhash.groups(table(spark, sf_dir, "documents"), superminhash.Rule(3, 85))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
 def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc_bundles.write_bundles(table(spark, sf_dir, "pages"), folder)
@@ -136,5 +141,5 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {q.__name__: q for q in (
-    op1_line_chunks, op2_token_files, op3_source_mixing, op4_rarity_digest, op5_secret_scan, op7_slot_sharding, op8_importance, op10_warc_bundles)}
+    op1_line_chunks, op2_token_files, op3_source_mixing, op4_rarity_digest, op5_secret_scan, op7_slot_sharding, op8_importance, op9_superminhash, op10_warc_bundles)}
 LLM_SQL = {"op3_source_mixing": OP3_SQL, "op5_secret_scan": OP5_SQL}
