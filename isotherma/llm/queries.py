@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, tune
-from . import blob_ledger, importance, line_chunks, mixing, rarity_digest, slot_table, superminhash, token_files, warc_bundles
+from . import blob_ledger, decontaminate, importance, line_chunks, mixing, rarity_digest, slot_table, superminhash, token_files, warc_bundles
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 MIX_WEIGHTS = [3, 1, 2]
@@ -118,6 +118,12 @@ FROM d LEFT JOIN a USING (r)
 """
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, and which."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), "item_id", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("n_words"), "similarity")
+
+
 def op7_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slot_table.place(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], SHARDS)
 
@@ -141,5 +147,5 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {q.__name__: q for q in (
-    op1_line_chunks, op2_token_files, op3_source_mixing, op4_rarity_digest, op5_secret_scan, op7_slot_sharding, op8_importance, op9_superminhash, op10_warc_bundles)}
+    op1_line_chunks, op2_token_files, op3_source_mixing, op4_rarity_digest, op5_secret_scan, op6_decontamination, op7_slot_sharding, op8_importance, op9_superminhash, op10_warc_bundles)}
 LLM_SQL = {"op3_source_mixing": OP3_SQL, "op5_secret_scan": OP5_SQL}
