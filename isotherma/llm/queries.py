@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,5 +148,5 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {q.__name__: q for q in (
-    op1_line_chunks, op2_token_files, op3_source_mixing, op4_rarity_digest, op5_secret_scan, op6_decontamination, op7_slot_sharding, op8_importance, op9_superminhash, op10_warc_bundles)}
+    op1_line_chunks, op2_token_files, op3_source_mixing, op4_rarity_digest, op5_secret_scan, op6_decontamination, op7_slot_sharding, op8_importance, op9_superminhash, op10_warc_bundles)} | {"pipeline": corpus_pipeline.run}
 LLM_SQL = {"op3_source_mixing": OP3_SQL, "op5_secret_scan": OP5_SQL}
