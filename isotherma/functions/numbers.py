@@ -80,7 +80,7 @@ def enriched_flags(tchp, d26, lat, region) -> dict[str, Column]:
 
 
 def intensification_flag(tchp, threshold: float = INTENSIFICATION_KJ_PER_CM2) -> Column:
-    return _col(tchp) >= threshold
+    return _col(tchp) > threshold
 
 
 def corrected_temperature(temp, raw_tchp, corrected_tchp, ref: float = REF_TEMP_C) -> Column:

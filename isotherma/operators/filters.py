@@ -105,12 +105,13 @@ def valid_range(value, low: float | None = None, high: float | None = None) -> C
     return ok if high is None else ok & (v <= high)
 
 
-def stride_thin(grid: DataFrame, stride: int, surface: str, box: Column | None = None, limit: int | None = None) -> DataFrame:
-    """Every ``stride``-th cell with a finite surface, the first ``limit`` in row-major order."""
+def stride_thin(grid: DataFrame, stride: int, surface: str, box: Column | None = None, limit: int | None = None,
+                date: str = "dt") -> DataFrame:
+    """Every ``stride``-th cell with a finite surface, of each date the first ``limit`` in row-major order."""
     rows = grid.where((F.col("y") % stride == 0) & (F.col("x") % stride == 0) & F.col(surface).isNotNull())
     if box is not None:
         rows = rows.where(box)
-    return rows if limit is None else rows.orderBy("y", "x").limit(limit)
+    return rows if limit is None else top_per_group(rows, [date], limit, F.col("y"), F.col("x")).drop("rank")
 
 
 def require_columns(df: DataFrame, recipe: Sequence[str], optional: Sequence[str] = ()) -> list[str] | None:
@@ -152,8 +153,11 @@ def even_sample(df: DataFrame, n: int, order: str) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """A fixed random sample: the ``n`` smallest keyed hashes."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """A fixed random sample: the ``n`` rows whose seeded draw is smallest. ``key`` is an integer."""
+    from .metrics import fixed_draw
+
+    draw = fixed_draw(f"{seed}L", f"pmod({key}, 2147483647L)", "4294967296L")
+    return df.withColumn("_draw", F.expr(draw)).orderBy("_draw", key).limit(n).drop("_draw")
 
 
 def union_tables(*frames: DataFrame) -> DataFrame:

@@ -397,10 +397,11 @@ def scope_inventory(df: DataFrame, sources: dict[str, DataFrame], date="dt", gro
 
 
 def replay_metadata(pairs: DataFrame, grid: DataFrame, date="dt", platform="platform") -> DataFrame:
-    """Pair and platform counts and the dates a replay can show (the first is the default)."""
+    """Pair and platform counts and the dates a replay can show (the last is the default)."""
     dates = grid.select(date).distinct().join(pairs.select(date).distinct(), date, "left_semi")
-    span = dates.agg(F.count(F.lit(1)).alias("n_dates"), F.min(date).cast("string").alias("default_date"),
-                     F.max(date).cast("string").alias("last_date"))
+    span = dates.agg(F.count(F.lit(1)).alias("n_dates"), F.min(date).cast("string").alias("first_date"),
+                     F.max(date).cast("string").alias("default_date"),
+                     F.array_join(F.sort_array(F.collect_list(F.col(date).cast("string"))), ",").alias("dates"))  # a calendar's length
     counts = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct(platform).alias("n_platforms"))
     return counts.select("*", span.select(F.struct("*")).scalar().alias("_s")).select("n_pairs", "n_platforms", "_s.*")
 

@@ -331,7 +331,7 @@ def score(queries: DataFrame, grid: DataFrame, support: DataFrame, model: Pipeli
     best = F.coalesce("corrected_tchp", "model_tchp")
     return out.select(query_id, date, "y", "x", F.col("distance_km").alias("grid_distance_km"), "model_tchp", "corrected_tchp",
                       best.alias("best_tchp"), "n_support", "nearest_support_km",
-                      confidence("n_support", F.lit(model is not None)).alias("confidence"))
+                      confidence("n_support", F.lit("tchp" in grid.columns)).alias("confidence"))
 
 
 LAYER_KINDS = ("tchp", "d26", "correction", "corrected", "observations")
@@ -339,8 +339,11 @@ LAYER_KINDS = ("tchp", "d26", "correction", "corrected", "observations")
 
 def corrected_layer(kind: str, grid: DataFrame, *, stride: int, surface="sst_c", correction: str | None = None,
                     observations: DataFrame | None = None, box: Column | None = None, limit: int | None = None) -> DataFrame:
-    """Points of one map layer; ``corrected`` falls back to the raw value where no correction is known."""
-    from .filters import stride_thin
+    """Points of one map layer; ``corrected`` falls back to the raw value where no correction is known.
+
+    ``limit`` is the number of points with a value per date, in row-major order.
+    """
+    from .filters import stride_thin, top_per_group
 
     if kind not in LAYER_KINDS:
         raise ValueError(f"unknown layer {kind!r}")
@@ -348,9 +351,11 @@ def corrected_layer(kind: str, grid: DataFrame, *, stride: int, surface="sst_c",
         return observations.select("dt", F.lit(kind).alias("layer"), "lat", "lon", F.col("obs_value").alias("value"))
     known = F.col(correction) if correction else F.lit(None).cast("double")
     value = {"tchp": F.col("tchp"), "d26": F.col("d26"), "correction": known,
-             "corrected": F.when((F.col("tchp") + known).isNotNull(), F.greatest(F.col("tchp") + known, F.lit(0.0))).otherwise(F.col("tchp"))}[kind]
-    thin = stride_thin(grid, stride, surface, box, limit)
-    return thin.select("dt", F.lit(kind).alias("layer"), "lat", "lon", value.alias("value")).where(F.col("value").isNotNull())
+             "corrected": F.coalesce(F.col("tchp") + known, "tchp")}[kind]
+    known_points = stride_thin(grid, stride, surface, box).withColumn("value", value).where(F.col("value").isNotNull())
+    if limit is not None:
+        known_points = top_per_group(known_points, ["dt"], limit, F.col("y"), F.col("x"))
+    return known_points.select("dt", F.lit(kind).alias("layer"), "lat", "lon", "value")
 
 
 def benchmark_report(metrics: DataFrame, raw_name: str, by: Sequence[str] = ("holdout",)) -> DataFrame:

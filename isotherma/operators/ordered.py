@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
+
 SEG = "_seg"
 
 
@@ -143,6 +145,20 @@ def average_ranks(df: DataFrame, value: str, out: str, segments: int = 256) -> D
     return df.join(ranks, value)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """A 0-based row number in any order, without sorting in one task.
+
+    Rows are range-partitioned and numbered where they lie; what is added to each is summed over one row per partition. The numbered
+    rows are written to the shared folder, so that a task that runs again sees the same ranges.
+    """
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_id", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    joined = rows.withColumn("_part", part).join(offsets, "_part")
+    return joined.withColumn(out, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_id")
+
+
 def row_positions(df: DataFrame, order: str, out: str = "position", segments: int = 256) -> DataFrame:
     """0-based global position by a unique, numeric order column."""
     pos = running_counts(df, [], order, segments).select(order, F.col("before").alias(out))

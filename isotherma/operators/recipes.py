@@ -12,8 +12,11 @@ SURFACE = ["model_ssh_m", "model_mixed_layer_thickness_m", "model_surface_bounda
 PROFILE_CORE = ["model_steric_1000_ref2000_m", "model_n2_max_upper200_s2", "model_n2_mean_to_d26_s2"]
 STERIC_SURFACE = "model_steric_0_1000_m"
 BARRIER = "model_blt_dt02_m"
-NEIGHBOURHOOD = [f"model_{f}_{s}" for f in ("tchp", "d26", "sst") for s in ("local_std_1deg", "grad_mag_per_100km", "anom_from_1deg_mean")]
-NEIGHBOURHOOD += ["model_tchp_local_std_2deg"]
+NEIGHBOURHOOD = [
+    "model_tchp_local_std_1deg", "model_tchp_local_std_2deg", "model_tchp_grad_mag_per_100km", "model_tchp_anom_from_1deg_mean",
+    "model_d26_local_std_1deg", "model_d26_grad_mag_per_100km", "model_d26_anom_from_1deg_mean",
+    "model_sst_local_std_1deg", "model_sst_grad_mag_per_100km", "model_sst_anom_from_1deg_mean",
+]
 STRATIFICATION = ["model_n2_max_near_mld_s2", "model_n2_max_above_mld_s2", "model_barrier_layer_thickness_m", "model_ild_m"]
 OPTIONAL = ["model_ild_dt02_m", "model_blt_dt02_m"]
 

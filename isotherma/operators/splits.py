@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import numbered
+
 MIN_DATES = 20
 
 
@@ -69,23 +71,15 @@ def inner_folds(df: DataFrame, date: str, k: int) -> DataFrame:
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """A fold per group, balanced by rows: ``(group, rows, fold)``.
 
-    The largest groups, where balance is decided, are dealt back and forth over the folds; the many small ones behind
-    them are spread by hash, so no task ranks every group.
+    All groups, in order of their rows (most first, ties by key), are dealt back and forth over the folds. Two folds then differ by no more
+    rows than the largest group has. A group with a NULL key comes last among equals.
     """
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
-    groups = counts.count()
-    k = min(k, groups)
+    counts = numbered(df.groupBy(group).agg(F.count(F.lit(1)).alias("rows")), [F.desc("rows"), F.col(group).asc_nulls_last()], "_turn")
+    k = min(k, counts.count())
     if k < 2:
         raise ValueError("at least two groups are needed")
-    head = counts.orderBy(F.desc("rows"), group).limit(1000)
-    turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rows"), group)) - 1
-    lap, pos = F.floor(turn / k), turn % k
-    dealt = head.withColumn("fold", F.when(lap % 2 == 0, pos).otherwise(k - 1 - pos).cast("int") + 1)
-    if groups <= 1000:
-        return dealt
-    rest = counts.join(dealt.select(group), group, "left_anti")
-    spread = F.pmod(F.xxhash64(group), F.lit(k)).cast("int") + 1
-    return dealt.unionByName(rest.withColumn("fold", spread))
+    lap, pos = F.floor(F.col("_turn") / k), F.col("_turn") % k
+    return counts.withColumn("fold", F.when(lap % 2 == 0, pos).otherwise(k - 1 - pos).cast("int") + 1).drop("_turn")
 
 
 def group_roles(df: DataFrame, group: str, k: int = 5) -> DataFrame:

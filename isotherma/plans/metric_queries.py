@@ -123,12 +123,12 @@ def _(v):
     return metrics.improvement_by(rows, ["bin"], *THREE)
 
 
-@query("g12_platform_leakage", """WITH tr AS (SELECT DISTINCT platform FROM fx_casts WHERE year <= 1998 AND platform % 3 < 2), te AS (SELECT platform FROM fx_casts WHERE year >= 1999),
+@query("g12_platform_leakage", """WITH tr AS (SELECT DISTINCT platform FROM fx_casts WHERE year <= 1998), te AS (SELECT platform FROM fx_casts WHERE year >= 1999),
   s AS (SELECT (SELECT count(*) FROM tr) AS train_platforms, count(DISTINCT platform) AS test_platforms, count(DISTINCT CASE WHEN platform IN (SELECT platform FROM tr) THEN platform END) AS overlap_platforms,
     count(*) AS test_rows, count(*) FILTER (WHERE platform IN (SELECT platform FROM tr)) AS test_rows_seen FROM te)
   SELECT *, overlap_platforms/test_platforms AS platform_share, test_rows_seen/test_rows AS row_share FROM s""", "platform_share row_share")
 def _(v):
-    return metrics.platform_leakage(v.casts.where("year <= 1998 AND platform % 3 < 2"), v.casts.where("year >= 1999"))
+    return metrics.platform_leakage(v.casts.where("year <= 1998"), v.casts.where("year >= 1999"))
 
 
 @query("g12_platform_distances", f"""WITH n AS (SELECT te.cast_id, te.year, min({hav('te.lon', 'te.lat', 'tr.lon', 'tr.lat')}) AS km FROM fx_casts te JOIN fx_casts tr ON tr.platform = te.platform
@@ -381,13 +381,14 @@ def _(v):
 
 
 @query("g36_scope_inventory", " UNION ALL ".join(f"""SELECT '{n}' AS source, '{k}' AS subset_kind, CAST({e} AS VARCHAR) AS subset, count(*) AS rows, count(DISTINCT dt) AS dates FROM fx_casts WHERE dt IN ({q}) GROUP BY {e}"""
-                                                 for n, q in (("grid", "SELECT dt FROM fx_grid"), ("errors", "SELECT dt FROM fx_obs WHERE storm = 'error' AND obs_id % 7 = 0")) for k, e in (("year", "year"), ("season", SEASON))))
+                                                 for n, q in (("grid", "SELECT dt FROM fx_grid"), ("errors", "SELECT dt FROM fx_obs WHERE storm = 'error'")) for k, e in (("year", "year"), ("season", SEASON))))
 def _(v):
-    return metrics.scope_inventory(labelled(v), {"grid": v.grid, "errors": v.obs.where("storm = 'error' AND obs_id % 7 = 0")})
+    return metrics.scope_inventory(labelled(v), {"grid": v.grid, "errors": v.obs.where("storm = 'error'")})
 
 
 @query("g37_replay_metadata", """SELECT count(*) AS n_pairs, count(DISTINCT platform) AS n_platforms, (SELECT count(DISTINCT dt) FROM fx_grid WHERE dt IN (SELECT dt FROM fx_casts)) AS n_dates,
-  (SELECT strftime(min(dt), '%Y-%m-%d') FROM fx_grid WHERE dt IN (SELECT dt FROM fx_casts)) AS default_date, (SELECT strftime(max(dt), '%Y-%m-%d') FROM fx_grid WHERE dt IN (SELECT dt FROM fx_casts)) AS last_date FROM fx_casts""")
+  (SELECT strftime(min(dt), '%Y-%m-%d') FROM fx_grid WHERE dt IN (SELECT dt FROM fx_casts)) AS first_date, (SELECT strftime(max(dt), '%Y-%m-%d') FROM fx_grid WHERE dt IN (SELECT dt FROM fx_casts)) AS default_date,
+  (SELECT string_agg(d, ',' ORDER BY d) FROM (SELECT DISTINCT strftime(dt, '%Y-%m-%d') AS d FROM fx_grid WHERE dt IN (SELECT dt FROM fx_casts))) AS dates FROM fx_casts""")
 def _(v):
     return metrics.replay_metadata(v.casts, v.grid)
 
@@ -431,10 +432,10 @@ def _(v):
     return splits.inner_folds(v.casts, "obs_date", 2).withColumn("obs_date", F.col("obs_date").cast("string"))
 
 
-@query("e03_group_folds", f"""WITH g AS (SELECT {EXPERT} AS region, count(*) AS rows FROM fx_casts GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY rows DESC, region) - 1 AS t FROM g)
-  SELECT region, rows, CAST(CASE WHEN (t // 5) % 2 = 0 THEN t % 5 ELSE 4 - t % 5 END + 1 AS INT) AS fold FROM o""")
+@query("e03_group_folds", """WITH g AS (SELECT platform, count(*) AS rows FROM fx_casts GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY rows DESC, platform) - 1 AS t FROM g)
+  SELECT platform, rows, CAST(CASE WHEN (t // 5) % 2 = 0 THEN t % 5 ELSE 4 - t % 5 END + 1 AS INT) AS fold FROM o""")
 def _(v):
-    return splits.group_folds(v.casts.withColumn("region", fn.expert_region("lat", "lon")), "region")
+    return splits.group_folds(v.casts, "platform")
 
 
 @query("e04_leave_one_event_out", """WITH c AS (SELECT event, count(*) AS n FROM fx_casts GROUP BY event) SELECT event AS held_out, n AS test_rows, (SELECT sum(n) FROM c)::BIGINT - n AS train_rows,

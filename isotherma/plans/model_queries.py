@@ -28,6 +28,11 @@ def quick_boosted(**kw):
     return models.boosted_delta(**{**QUICK, **kw})
 
 
+def ridge(train):
+    """The penalty follows the rows of each fit."""
+    return models.ridge_delta(train.count())
+
+
 def forward(v, df):
     return cut_lineage(splits.forward_folds(df, "obs_date"))
 
@@ -105,24 +110,24 @@ def _(v):
 def _(v):
     rows = cut_lineage(table(v))
     sets = {"place": ["lat", "lon"], "state": ["model_tchp", "model_d26"], "all": FEATURES, "needs_profiles": [*FEATURES, "model_n2_max_upper200_s2"]}
-    return models.recipe_ablation(rows, forward(v, rows), "obs_date", sets, models.ridge_delta(1000), obs=OBS, base=BASE, optional=["model_n2_max_upper200_s2"])
+    return models.recipe_ablation(rows, forward(v, rows), "obs_date", sets, ridge, obs=OBS, base=BASE, optional=["model_n2_max_upper200_s2"])
 
 
 @query("m09_geography_ladder")
 def _(v):
     rows = cut_lineage(table(v).withColumn("tile", fn.tile15("lat", "lon")))
     sets = {"state": ["model_tchp", "model_d26"], "abslat": ["model_tchp", "model_d26", "abs_lat"], "geo": ["model_tchp", "model_d26", "abs_lat", "lat", "lon"]}
-    parts = [models.recipe_ablation(rows, forward(v, rows), "obs_date", sets, models.ridge_delta(1000), obs=OBS, base=BASE, split="forward")]
+    parts = [models.recipe_ablation(rows, forward(v, rows), "obs_date", sets, ridge, obs=OBS, base=BASE, split="forward")]
     for split, group in (("tile", "tile"), ("platform", "platform")):
         roles = cut_lineage(splits.group_roles(rows, group, 2))
-        parts.append(models.recipe_ablation(rows, roles, group, sets, models.ridge_delta(1000), obs=OBS, base=BASE, split=split))
+        parts.append(models.recipe_ablation(rows, roles, group, sets, ridge, obs=OBS, base=BASE, split=split))
     return metrics.ablation_increments(parts[0].unionByName(parts[1]).unionByName(parts[2]), list(sets))
 
 
 @query("m10_backward_elimination")
 def _(v):
     rows = cut_lineage(table(v).select("obs_date", OBS, *FEATURES))
-    return models.backward_elimination(rows, forward(v, rows), "obs_date", ["lat", "ssh_m", "mlt_m", "sst_c"], models.ridge_delta(1000), obs=OBS, base=BASE, keep=3)
+    return models.backward_elimination(rows, forward(v, rows), "obs_date", ["lat", "ssh_m", "mlt_m", "sst_c"], ridge, obs=OBS, base=BASE, keep=3)
 
 
 @query("m11_permutation_importance")
@@ -137,14 +142,6 @@ def _(v):
     return models.gain_importance(models.fit_delta(table(v), FEATURES, quick_boosted(), OBS, BASE), FEATURES, v.spark)
 
 
-def experts(v):
-    rows = cut_lineage(table(v))
-    train, val = rows.where("year <= 1998"), rows.where("year >= 1999")
-    geo = models.region_experts(train, val, FEATURES, obs=OBS, base=BASE, make=quick_boosted)
-    regime = models.regime_experts(train, val, FEATURES, ["model_tchp", "model_d26", "sst_c", "ssh_m", "mlt_m", "lat"], 3, obs=OBS, base=BASE, starts=2, make=quick_boosted)
-    return geo, regime
-
-
 @query("m12_region_experts")
 def _(v):
     rows = table(v)
@@ -174,9 +171,10 @@ def _(v):
 @query("m16_climatology_base")
 def _(v):
     rows = table(v)
-    clim = rows.where("year <= 1998").groupBy("month").agg(F.avg(OBS).alias("clim_tchp"))
+    # From the grid, so that no observation a fold validates on is in it.
+    clim = v.grid.groupBy(F.month("dt").alias("month")).agg(F.avg("tchp").alias("clim_tchp"))
     rows = cut_lineage(rows.join(clim, "month"))
-    oof = models.oof_predict(rows, forward(v, rows), "obs_date", [*FEATURES, "clim_tchp"], models.ridge_delta(1000), obs=OBS, base="clim_tchp")
+    oof = models.oof_predict(rows, forward(v, rows), "obs_date", [*FEATURES, "clim_tchp"], ridge, obs=OBS, base="clim_tchp")
     return long_metrics(oof, {"climatology": "clim_tchp", "corrected": "pred"}, ["fold"])
 
 
@@ -185,8 +183,8 @@ def _(v):
     rows = table(v)
     local = rows.where(filters.in_bbox(-110, 0, -40, 50))
     roles = forward(v, rows)
-    whole = models.oof_predict(rows, roles, "obs_date", FEATURES, models.ridge_delta(1000), obs=OBS, base=BASE).where(filters.in_bbox(-110, 0, -40, 50))
-    own = models.oof_predict(local, roles, "obs_date", FEATURES, models.ridge_delta(1000), obs=OBS, base=BASE)
+    whole = models.oof_predict(rows, roles, "obs_date", FEATURES, ridge, obs=OBS, base=BASE).where(filters.in_bbox(-110, 0, -40, 50))
+    own = models.oof_predict(local, roles, "obs_date", FEATURES, ridge, obs=OBS, base=BASE)
     return long_metrics(whole, {"global": "pred"}).unionByName(long_metrics(own, {"local": "pred"}))
 
 
@@ -210,15 +208,29 @@ SCORE_SQL = f"""WITH q AS (SELECT cast_id AS query_id, lat, lon, dt, dt + INTERV
 def _(v):
     # A model that learned a constant delta of 1.5, so that the whole path has an exact answer.
     train = table(v).withColumn(OBS, F.col(BASE) + 1.5)
-    model = models.fit_delta(train, ["sst_c"], models.ridge_delta(1000), OBS, BASE)
+    model = models.fit_delta(train, ["sst_c"], models.ridge_delta(train.count()), OBS, BASE)
     q = v.casts.select(F.col("cast_id").alias("query_id"), "lat", "lon", "dt", (F.unix_date("dt") * 86400.0 + 43200.0).alias("ts"))
     out = models.score(q, v.grid, v.obs.withColumn("ts", seconds("obs_time")), model, ["sst_c"])
     return out.withColumn("dt", F.col("dt").cast("string"))
 
 
+@query("m20_score_raw", SCORE_SQL.replace("n.tchp + 1.5 AS corrected_tchp, n.tchp + 1.5 AS best_tchp", "CAST(NULL AS DOUBLE) AS corrected_tchp, n.tchp AS best_tchp"),
+       "grid_distance_km model_tchp corrected_tchp best_tchp nearest_support_km")
+def _(v):
+    q = v.casts.select(F.col("cast_id").alias("query_id"), "lat", "lon", "dt", (F.unix_date("dt") * 86400.0 + 43200.0).alias("ts"))
+    out = models.score(q, v.grid, v.obs.withColumn("ts", seconds("obs_time")), None, [])
+    return out.withColumn("dt", F.col("dt").cast("string"))
+
+
+@query("m21_limited_layer", """SELECT strftime(dt, '%Y-%m-%d') AS dt, 'd26' AS layer, lat, lon, d26 AS value FROM fx_grid WHERE y % 2 = 0 AND x % 2 = 0 AND sst_c IS NOT NULL AND d26 IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY dt ORDER BY y, x) <= 9""", "lat lon value")
+def _(v):
+    return models.corrected_layer("d26", v.grid, stride=2, limit=9).withColumn("dt", F.col("dt").cast("string"))
+
+
 @query("m21_corrected_layer", """WITH g AS (SELECT *, CASE WHEN (y + x) % 4 <> 0 THEN lat/10.0 - 3.0 END AS correction FROM fx_grid WHERE y % 2 = 0 AND x % 2 = 0 AND sst_c IS NOT NULL), l AS (
   SELECT dt, 'tchp' AS layer, lat, lon, tchp AS value FROM g UNION ALL SELECT dt, 'd26', lat, lon, d26 FROM g UNION ALL SELECT dt, 'correction', lat, lon, correction FROM g UNION ALL
-  SELECT dt, 'corrected', lat, lon, CASE WHEN tchp + correction IS NULL THEN tchp ELSE greatest(tchp + correction, 0.0) END FROM g UNION ALL SELECT dt, 'observations', lat, lon, obs_value FROM fx_obs)
+  SELECT dt, 'corrected', lat, lon, coalesce(tchp + correction, tchp) FROM g UNION ALL SELECT dt, 'observations', lat, lon, obs_value FROM fx_obs)
   SELECT strftime(dt, '%Y-%m-%d') AS dt, layer, lat, lon, value FROM l WHERE value IS NOT NULL""", "lat lon value")
 def _(v):
     grid = v.grid.withColumn("correction", F.when((F.col("y") + F.col("x")) % 4 != 0, F.col("lat") / 10.0 - 3.0))
@@ -235,10 +247,10 @@ def _(v):
     return models.benchmark_report(long_metrics(rows, {"raw": "model_tchp", "corrected": "corrected_tchp", "mean": "mid"}, ["holdout"]), "raw")
 
 
-@query("s07_layer_documents", """SELECT strftime(dt, '%Y-%m-%d') AS dt, 'tchp' AS layer, count(tchp) AS point_count, count(tchp) AS n_points, min(tchp) AS value_min, max(tchp) AS value_max FROM fx_grid
-  WHERE y % 2 = 0 AND x % 2 = 0 AND sst_c IS NOT NULL AND tchp IS NOT NULL GROUP BY 1""", "value_min value_max")
+@query("s07_layer_documents", """SELECT strftime(dt, '%Y-%m-%d') AS dt, 'tchp' AS layer, count(tchp) AS point_count, count(tchp) AS n_points, min(tchp) AS value_min, max(tchp) AS value_max,
+  CAST(floor((lat + 90)/10)*36 + floor((lon + 180)/10) AS INT) AS tile FROM fx_grid WHERE y % 2 = 0 AND x % 2 = 0 AND sst_c IS NOT NULL AND tchp IS NOT NULL GROUP BY dt, tile""", "value_min value_max")
 def _(v):
     docs = writers.layer_documents(models.corrected_layer("tchp", v.grid, stride=2), 2)
     body = F.from_json("document", "layer string, point_count long, value_min double, value_max double, points array<struct<lat: double, lon: double, value: double>>")
-    rows = docs.select(F.col("dt").cast("string").alias("dt"), body.alias("b"))
-    return rows.select("dt", "b.layer", "b.point_count", F.size("b.points").cast("long").alias("n_points"), "b.value_min", "b.value_max")
+    rows = docs.select(F.col("dt").cast("string").alias("dt"), "tile", body.alias("b"))
+    return rows.select("dt", "tile", "b.layer", "b.point_count", F.size("b.points").cast("long").alias("n_points"), "b.value_min", "b.value_max")

@@ -70,7 +70,7 @@ def _(v):
 
 
 @query("a06_heat_excess_zlevels", """WITH r AS (SELECT cast_id, depth_m AS z, temp_c AS t, row_number() OVER w AS rn, lag(depth_m) OVER w AS z0, lag(temp_c) OVER w AS t0,
-    lead(depth_m) OVER w AS z1 FROM fx_levels WHERE depth_m <= 180 WINDOW w AS (PARTITION BY cast_id ORDER BY depth_m)),
+    lead(depth_m) OVER w AS z1 FROM fx_levels WHERE depth_m <= 1000 WINDOW w AS (PARTITION BY cast_id ORDER BY depth_m)),
   g AS (SELECT *, CASE WHEN z0 IS NULL THEN 0 ELSE (z0 + z)/2 END AS top, CASE WHEN z1 IS NULL THEN z ELSE (z + z1)/2 END AS bot FROM r),
   f AS (SELECT cast_id, bool_or(rn = 1 AND t >= 26) AS warm, max(CASE WHEN rn = 1 THEN t END) AS sst, min(CASE WHEN t <= 26 THEN z END) AS zc FROM g GROUP BY cast_id),
   d AS (SELECT f.cast_id, f.sst, CASE WHEN f.warm AND g.t0 <> g.t THEN g.z0 + (g.t0 - 26.0)/(g.t0 - g.t)*(g.z - g.z0) END AS d26
@@ -79,7 +79,7 @@ def _(v):
     WHEN g.bot <= d.d26 THEN g.bot - g.top WHEN g.top < d.d26 AND g.bot > d.d26 THEN d.d26 - g.top ELSE 0 END * greatest(g.t - 26.0, 0)*1026.0*4180.0)/1e7 END AS tchp_kj_per_cm2
   FROM d JOIN g USING (cast_id) GROUP BY d.cast_id""", HEAT_COLUMNS)
 def _(v):
-    return prof.heat_excess_zlevels(v.levels, max_depth=180.0).select("cast_id", "d26_m", "surface_temp_c", "tchp_kj_per_cm2")
+    return prof.heat_excess_zlevels(v.levels, max_depth=1000.0).select("cast_id", "d26_m", "surface_temp_c", "tchp_kj_per_cm2")
 
 
 def crossing_sql(v: str, threshold: str, op: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import filters as flt
+from ..operators.metrics import fixed_draw
 from ..sources import readers
 from .registry import hav, query
 
@@ -133,7 +134,7 @@ def _(v):
     return v.casts.select("cast_id", fn.round_half_even(F.col("mlt_m") / 8.0, 2).alias("half_even"))
 
 
-@query("f17_flags", """SELECT cast_id, CAST(obs_tchp >= 50 AS INT) AS intensifying, CASE WHEN cast_id % 5 >= 3 THEN 'High' WHEN cast_id % 5 >= 1 THEN 'Medium'
+@query("f17_flags", """SELECT cast_id, CAST(obs_tchp > 50 AS INT) AS intensifying, CASE WHEN cast_id % 5 >= 3 THEN 'High' WHEN cast_id % 5 >= 1 THEN 'Medium'
   ELSE 'Low' END AS confidence FROM fx_casts""")
 def _(v):
     return v.casts.select("cast_id", fn.intensification_flag("obs_tchp").cast("int").alias("intensifying"),
@@ -217,6 +218,12 @@ def _(v):
     return rows.select(F.col("dt").cast("string").alias("dt"), "y", "x", "sst_c")
 
 
+@query("p09_stride_thin_limited", """SELECT strftime(dt, '%Y-%m-%d') AS dt, y, x, sst_c FROM fx_grid WHERE y % 2 = 0 AND x % 2 = 0 AND sst_c IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY dt ORDER BY y, x) <= 7""", "sst_c")
+def _(v):
+    return flt.stride_thin(v.grid, 2, "sst_c", limit=7).select(F.col("dt").cast("string").alias("dt"), "y", "x", "sst_c")
+
+
 @query("o01_sorted_pairs", "SELECT cast_id, platform, obs_tchp FROM fx_casts WHERE obs_tchp IS NOT NULL ORDER BY platform, obs_tchp, cast_id", "obs_tchp")
 def _(v):
     return flt.complete_pairs(v.casts, ["obs_tchp"]).select("cast_id", "platform", "obs_tchp").orderBy("platform", "obs_tchp", "cast_id")
@@ -239,7 +246,7 @@ def _(v):
     return flt.even_sample(v.casts.select("cast_id"), 500, "cast_id")
 
 
-@query("o05_seeded_sample")
+@query("o05_seeded_sample", f"SELECT y, x, cell FROM (SELECT DISTINCT y, x, y*100000 + x AS cell FROM fx_grid) t ORDER BY {fixed_draw('7::BIGINT', '(cell % 2147483647)::BIGINT', '4294967296', xor=lambda a, b: f'xor({a}, {b})', div='//')}, cell LIMIT 200")
 def _(v):
     return flt.seeded_sample(v.geometry.select("y", "x", (F.col("y") * 100000 + F.col("x")).alias("cell")), 200, "cell", 7)
 
@@ -272,8 +279,8 @@ def _(v):
 
 @query("s01_read_observations", """SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) IN (1996, 1997)""", "o_totalprice")
 def _(v):
-    rows = readers.null_non_finite(v.table("orders").select("o_orderkey", "o_totalprice", "o_orderdate"))
-    return rows.where(F.year("o_orderdate").isin(1996, 1997)).select("o_orderkey", "o_totalprice")
+    rows = v.table("orders").select("o_orderkey", "o_totalprice", "o_orderdate").where("o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1998-01-01'")
+    return readers.null_non_finite(rows).select("o_orderkey", "o_totalprice")
 
 
 @query("s08_union_products", """SELECT cast_id, obs_tchp*1e7 AS ohc_j_per_m2 FROM fx_casts WHERE year < 1998 UNION ALL

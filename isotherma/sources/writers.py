@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,37 +16,37 @@ def write_product(df: DataFrame, path: str, csv: bool = False) -> None:
 def append_new(df: DataFrame, target: str, key: str) -> None:
     """Append the rows whose key is not written yet; failures are rows with an ``error`` text.
 
-    The batch is first reduced to one row per key, so a repeated run adds nothing.
+    The batch is first reduced to one row per key, a success before a failure, so a repeated run adds nothing.
     """
     spark = df.sparkSession
-    fresh = df.dropDuplicates([key])
-    try:
-        done = spark.read.parquet(target).select(key)
-    except Exception as missing:  # the first run has no target
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        done = None
-    if done is not None:
-        fresh = fresh.join(done, key, "left_anti")
+    if "error" in df.columns:
+        first = Window.partitionBy(key).orderBy(F.col("error").asc_nulls_first())
+        fresh = df.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+    else:
+        fresh = df.dropDuplicates([key])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        fresh = fresh.join(spark.read.parquet(target).select(key), key, "left_anti")
     fresh.write.mode("append").parquet(target)
 
 
-def layer_documents(points: DataFrame, stride: int, bbox: list[float] | None = None, max_points: int = 500_000) -> DataFrame:
-    """One JSON document per date and layer.
+TILE_DEGREES = 10
 
-    A layer with more points than ``max_points`` is cut into ``parts`` documents by position, so no task builds an
-    unbounded document; together the parts hold every point.
+
+def layer_documents(points: DataFrame, stride: int, bbox: list[float] | None = None) -> DataFrame:
+    """One JSON document per date, layer and tile of 10 degrees, whatever the size of the layer.
+
+    A tile is numbered row by row from the south-west; its area bounds the document. Together the documents hold every point.
     """
-    sizes = points.groupBy("dt", "layer").agg(F.ceil(F.count(F.lit(1)) / max_points).cast("int").alias("parts"))
-    rows = points.join(sizes, ["dt", "layer"])
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("lat", "lon", "value"), F.col("parts")).cast("int"))
-    docs = rows.groupBy("dt", "layer", "part").agg(
-        F.first("parts").alias("parts"), F.count(F.lit(1)).alias("point_count"), F.min("value").alias("value_min"), F.max("value").alias("value_max"),
+    per_row = 360 // TILE_DEGREES
+    tile = F.floor((F.col("lat") + 90) / TILE_DEGREES) * per_row + F.floor((F.col("lon") + 180) / TILE_DEGREES)
+    docs = points.withColumn("tile", tile.cast("int")).groupBy("dt", "layer", "tile").agg(
+        F.count(F.lit(1)).alias("point_count"), F.min("value").alias("value_min"), F.max("value").alias("value_max"),
         F.sort_array(F.collect_list(F.struct("lat", "lon", "value"))).alias("points"))
     box = F.array(*[F.lit(float(b)) for b in bbox]) if bbox else F.lit(None).cast("array<double>")
-    body = F.struct(F.col("layer"), F.col("dt").cast("string").alias("time"), "part", "parts", "point_count", F.lit(stride).alias("stride"),
+    body = F.struct(F.col("layer"), F.col("dt").cast("string").alias("time"), "tile", "point_count", F.lit(stride).alias("stride"),
                     box.alias("bbox"), "value_min", "value_max", "points")
-    return docs.select("dt", "layer", "part", F.to_json(body).alias("document"))
+    return docs.select("dt", "layer", "tile", F.to_json(body).alias("document"))
 
 
 def export_layer(points: DataFrame, path: str, stride: int, bbox: list[float] | None = None) -> None:

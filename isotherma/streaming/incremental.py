@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-
-def new_rows(spark: SparkSession, source: str, schema: StructType, key: str) -> DataFrame:
-    """Rows of files not seen before, one per key."""
-    return spark.readStream.schema(schema).parquet(source).dropDuplicates([key])
+from ..sources.writers import append_new
 
 
 def append_stream(spark: SparkSession, source: str, schema: StructType, key: str, target: str, state: str) -> StreamingQuery:
-    """Run once over the new files; ``state`` is the checkpoint folder that remembers files and keys."""
-    rows = new_rows(spark, source, schema, key)
-    return (rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", state)
-            .outputMode("append").trigger(availableNow=True).start())
+    """Run once over the files not seen before and append the rows whose key the target lacks.
+
+    ``state`` remembers the files; the keys are those of the target itself, so the state does not grow with them, and a batch that is
+    repeated after a failure adds nothing.
+    """
+
+    def append(batch: DataFrame, _: int) -> None:
+        append_new(batch, target, key)
+
+    rows = spark.readStream.schema(schema).parquet(source)
+    return rows.writeStream.foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start()
