@@ -1,4 +1,4 @@
 """Registered queries. Importing the modules fills the catalog."""
 
-from . import join_queries, metric_queries, model_queries, profile_queries, scalar_queries  # noqa: F401
+from . import join_queries, metric_queries, model_queries, profile_queries, scalar_queries, source_queries  # noqa: F401
 from .registry import CATALOG  # noqa: F401

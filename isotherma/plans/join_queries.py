@@ -135,7 +135,7 @@ def _(v):
 CELL_SQL = "CAST(least({n}, greatest(0, {f}(({c} - ({o})){plus}))) AS INT)"
 
 
-@query("j11_climatology_lookup", "WITH o AS (SELECT cast_id, month, " + CELL_SQL.format(n=179, f="ceil", c="lat", o=-89.5, plus="") + " AS ilat, "
+@query("j11_climatology_difference", "WITH o AS (SELECT cast_id, month, " + CELL_SQL.format(n=179, f="ceil", c="lat", o=-89.5, plus="") + " AS ilat, "
        + CELL_SQL.format(n=359, f="floor", c="lon", o=-179.5, plus=" + 0.5") + """ AS ilon, model_tchp FROM (SELECT cast_id, month, lat, lon, model_tchp FROM fx_casts) t),
   c AS (SELECT month, ilat, ilon, avg(model_tchp) AS clim FROM o GROUP BY ALL)
   SELECT o.cast_id, o.ilat, o.ilon, c.clim, o.model_tchp - c.clim AS model_minus_clim FROM o JOIN c USING (month, ilat, ilon)""", "clim model_minus_clim")

@@ -277,12 +277,6 @@ def _(v):
     return v.casts.where(F.col("month").isin(*months)).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s01_read_observations", """SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) IN (1996, 1997)""", "o_totalprice")
-def _(v):
-    rows = v.table("orders").select("o_orderkey", "o_totalprice", "o_orderdate").where("o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1998-01-01'")
-    return readers.null_non_finite(rows).select("o_orderkey", "o_totalprice")
-
-
 @query("s08_union_products", """SELECT cast_id, obs_tchp*1e7 AS ohc_j_per_m2 FROM fx_casts WHERE year < 1998 UNION ALL
   SELECT cast_id, model_tchp*1e7 FROM fx_casts WHERE year >= 1998""", "ohc_j_per_m2")
 def _(v):
