@@ -300,6 +300,17 @@ def validate_product(df: DataFrame, key="cast_id") -> DataFrame:
     return counts.select(total.scalar().alias("rows_total"), "*", repeated.scalar().alias("duplicate_cast_ids"))
 
 
+QUANTILES = (0.0, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999, 1.0)
+
+
+def product_quantiles(df: DataFrame, columns: Sequence[str] = ("tchp_kj_per_cm2", "d26_m"), probs: Sequence[float] = QUANTILES) -> DataFrame:
+    """Quantiles of the product's values, of the rows without an error: ``(column_name, prob, quantile)``."""
+    ok = df.where(F.col("error").isNull()) if "error" in df.columns else df
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = ok.select(F.explode(entries).alias("_e")).select("_e.*")
+    return exact_quantiles(long, ["column_name"], "value", probs)
+
+
 def suspicious_rows(df: DataFrame) -> DataFrame:
     """Rows that break an invariant."""
     d26, tchp, sst = F.col("d26_m"), F.col("tchp_kj_per_cm2"), F.col("surface_t_c")

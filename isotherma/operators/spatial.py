@@ -279,19 +279,23 @@ def nearest_support_km(test: DataFrame, train: DataFrame, *, test_cols: Sequence
     return near.select(*test_cols, F.col("distance_km").alias("support_km"))
 
 
+POINTS_PER_SALT = 2_000
+
+
 def radius_pairs(cells: DataFrame, points: DataFrame, radius_km: float, *, cell_cols: Sequence[str],
-                 point_cols: Sequence[str], salts: int = 4) -> DataFrame:
-    """Cells paired with the points within a radius; the work is linear in the points.
+                 point_cols: Sequence[str], any_point: bool = False) -> DataFrame:
+    """Cells paired with the points within a radius, or with ``any_point`` the cells that have one; the work is linear in the points.
 
-    Points keep one row each, spread over ``salts`` by position; cells are copied to the cubes their
-    radius touches. A crowded cube is thus shared by several tasks, each with its few cells.
+    Points keep one row each; cells are copied to the cubes their radius touches, as far as those hold points. A cube is dealt over as many
+    salts as its points need, so a crowded one is shared by many tasks, each with its few cells.
     """
     side = max(_chord(radius_km), 1e-7)
     unames, uexprs = _coords("great_circle")
     ids = [f"c{i}" for i in range(3)]
     pts = points.select(*point_cols, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
-                        *[F.floor(u / side).cast("long").alias(c) for u, c in zip(uexprs, ids)],
-                        F.pmod(F.xxhash64("lat", "lon"), F.lit(salts)).cast("int").alias("salt"))
+                        *[F.floor(u / side).cast("long").alias(c) for u, c in zip(uexprs, ids)])
+    cubes = pts.groupBy(*ids).agg(F.ceil(F.count(F.lit(1)) / POINTS_PER_SALT).cast("int").alias("_salts"))
+    pts = pts.join(cubes, ids).withColumn("salt", F.pmod(F.xxhash64("p_lat", "p_lon"), F.col("_salts")).cast("int")).drop("_salts")
     steps = list(itertools.product((-1, 0, 1), repeat=3))
     offsets = F.array(*[F.struct(*[F.lit(s).alias(f"d{i}") for i, s in enumerate(step)]) for step in steps])
     near = cells.select(*cell_cols, "lat", "lon", *[u.alias(n) for u, n in zip(uexprs, unames)])
@@ -301,9 +305,13 @@ def radius_pairs(cells: DataFrame, points: DataFrame, radius_km: float, *, cell_
     gaps = [F.greatest(F.col(c) * side - F.col(u), F.lit(0.0), F.col(u) - (F.col(c) + 1) * side) for c, u in zip(ids, unames)]
     centre = [(F.col(c) + 0.5) * side - 1.0 for c in ids]
     near = near.where((_norm(gaps) <= side + SLACK) & (F.abs(_norm(centre) - 1.0) <= side * 0.8661 + SLACK))
-    near = near.select(*cell_cols, "lat", "lon", *ids, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    pairs = near.join(pts, [*ids, "salt"])
+    near = near.select(*cell_cols, "lat", "lon", *ids).join(cubes, ids)
+    near = near.select("*", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt")).drop("_salts")
     km = F.round(haversine_km("lon", "lat", "p_lon", "p_lat"), DISTANCE_DIGITS)
+    if any_point:  # the join looks no further once a cell has a point
+        same = [near[c] == pts[c] for c in [*ids, "salt"]]
+        return near.join(pts, [*same, km <= radius_km], "left_semi").select(*cell_cols).distinct()
+    pairs = near.join(pts, [*ids, "salt"])
     return pairs.withColumn("distance_km", km).where(F.col("distance_km") <= radius_km).drop(*ids, "salt")
 
 
@@ -329,6 +337,6 @@ def gaussian_grid(obs: DataFrame, cells: DataFrame, value: str, *, cell_cols: Se
 def distance_mask(cells: DataFrame, obs: DataFrame, value: str, km: float, *, cell_cols: Sequence[str]) -> DataFrame:
     """NULL out cells farther than ``km`` from every observation."""
     places = obs.select("lat", "lon").distinct()
-    covered = radius_pairs(cells, places, km, cell_cols=cell_cols, point_cols=[]).select(*cell_cols).distinct()
+    covered = radius_pairs(cells, places, km, cell_cols=cell_cols, point_cols=[], any_point=True)
     flagged = cells.join(covered.withColumn("_in", F.lit(True)), list(cell_cols), "left")
     return flagged.withColumn(value, F.when(F.col("_in"), F.col(value))).drop("_in")
