@@ -6,8 +6,8 @@ the k highest are kept, which samples k documents without replacement by importa
 
 n-grams are 3 and 5 bytes of the lower-cased text with white space runs as one space, and pairs of successive words; a word that
 repeats the one before counts by how often it has been repeated in a row. A model holds the share of documents that have an n-gram, so copies within a
-text do not sway it. Log ratios are drawn towards 0 by their own standard error and those above 0 count as 0: a long text of usual
-words is as good as a short one, and weight is lost by what the target does not have.
+text do not sway it. Log ratios are drawn towards 0 by their own standard error and those above 0 count as 0, so weight is lost by what the
+target does not have. A text of more than 1000 bytes gets the weight of 1000 bytes of it on average; else noise would add up over long texts.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ BUCKET_BITS = 22  # bounds both models: 2^22 buckets; 16 MB are broadcast
 GRAMS = (3, 5)  # bytes
 RUNS = 8  # repeats of a word in a row that are told apart
 ERRORS = 1.5  # standard errors by which a log ratio is drawn towards 0
+TYPICAL = 1_000  # bytes; longer texts are weighed per so many
 PRIOR = 0.5  # added to a count of documents
 BROADCAST_LABELS = 1_000_000  # ids; more are joined by a shuffle
 LABELS = 200_000  # at most so many labelled documents set the cut; the models count all
@@ -110,7 +111,7 @@ class Model:
         total = np.zeros(len(rows))
         for bucket, owner in features(rows):
             total += np.bincount(owner, self.ratios[bucket], minlength=len(rows))
-        return total
+        return total * np.minimum(1, TYPICAL / np.maximum(1, np.array([len(x) for x in rows])))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
