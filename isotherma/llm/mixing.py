@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from ..session import stored
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -27,17 +28,6 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, GAP))).cast("long")
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """A 0-based row number in the given order, without sorting in one task."""
-    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_id", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = rows.groupBy(part.alias("_part")).count().select(
-        "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    joined = rows.withColumn("_part", part).join(offsets, "_part")
-    return joined.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_id")
-
-
 def cycled_weights(sources: DataFrame, weights: list[float]) -> DataFrame:
     """Sources by code point, NULL last, get the weights in turn."""
     ranked = numbered(sources, [F.col("source").asc_nulls_last()], "_rank")

@@ -105,8 +105,7 @@ def sketches(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
 
 def full_sets(docs: DataFrame, wanted: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     """(node, elements) of the texts whose hash is wanted; a task gives a set once."""
-    n = wanted.count()
-    keys = F.broadcast(wanted) if n <= BROADCAST_TEXTS else wanted
+    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
@@ -295,10 +294,6 @@ def one_per_group(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
     stay = groups(docs, rule, id_col, text_col).where("kept").groupBy("component").agg(F.min("texthash").alias("_hash"))
     known, null = F.coalesce(F.col(id_col), F.lit(0).cast("long")), F.col(id_col).isNull()
     keys = ["_known", "_null", "_hash"]
-    named = groups_keys(stay)
+    named = stay.select(F.coalesce("component", F.lit(0).cast("long")).alias("_known"), F.col("component").isNull().alias("_null"), "_hash")
     rows = docs.withColumn("_known", known).withColumn("_null", null).withColumn("_hash", F.xxhash64(text_col))
     return rows.join(named, keys, "left_semi").dropDuplicates(keys).drop(*keys)
-
-
-def groups_keys(stay: DataFrame) -> DataFrame:
-    return stay.select(F.coalesce("component", F.lit(0).cast("long")).alias("_known"), F.col("component").isNull().alias("_null"), "_hash")

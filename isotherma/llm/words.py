@@ -18,7 +18,6 @@ SHINGLE = stream(64, 13) | np.uint64(1)
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
 VALUE = np.where(WHITE, np.uint64(0), BYTE)
-SPLIT = b" \n"
 
 
 @dataclass(frozen=True)
