@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 
-SLICE_BYTES = 1 << 20  # of text that is worked on at once
+SLICE_BYTES = 1 << 19  # of text that is worked on at once
+HELD: dict = {}  # what a worker keeps from one task to the next of a stage; tasks of other stages drop it
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -21,6 +22,7 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; NULL is empty."""
+    HELD.clear()
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 

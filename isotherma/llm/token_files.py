@@ -17,7 +17,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import elias_fano
-from .store import opened
+from .store import HELD, opened
 
 HEAD = "<QQQ"
 CACHED = 600_000  # chunks in each of two generations, and half as many pieces, whose ids a worker keeps
@@ -121,9 +120,10 @@ def byte_letters() -> dict[int, str]:
     return {x: chr(x) for x in shown} | {x: chr(256 + k) for k, x in enumerate(hidden)}
 
 
-@cache
 def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    if path not in HELD:
+        HELD[path] = ChunkEncoder(path)
+    return HELD[path]
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
