@@ -18,6 +18,8 @@ RUNTIME = {
     # Narrow rows can mean much arithmetic (neighbour cubes, folds): keep tasks small enough to share it.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.ansi.enabled": "true",
+    # Rows may hold long texts: keep what a Python task holds at once small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
