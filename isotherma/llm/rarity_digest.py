@@ -211,6 +211,7 @@ def likeness(a: Digest, b: Digest) -> float:
 
 SORT_BYTES = 17
 TOGETHER = 256  # rows
+BUCKET_ROWS = 20_000
 
 
 def _sort_keys(known: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -235,17 +236,18 @@ def digests(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_col
     return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, fingerprint string")
 
 
-def pairs_with_next(docs: DataFrame) -> tuple[DataFrame, str]:
+def pairs_with_next(docs: DataFrame) -> DataFrame:
     """Rows (_bucket, _extra, _id, _hash, _text) such that each bucket holds a stretch of the order by (doc_id, hash of the text)
     and, marked extra, the row that follows it (after the last the first).
 
     The buckets' first keys come from a pass over the narrow keys; the texts are shuffled once. NULL ids come first.
     """
-
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
-    keys = rows.select("_id", "_hash").repartitionByRange(F.col("_id").asc_nulls_first(), "_hash")
+    # a number of its own, as the keys are narrow and would be merged into a few partitions
+    stretches = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // BUCKET_ROWS + 1)
+    keys = rows.select("_id", "_hash").repartitionByRange(stretches, F.col("_id").asc_nulls_first(), "_hash")
     place = F.struct(F.col("_id").isNotNull().alias("known"), F.coalesce("_id", F.lit(0).cast("long")).alias("id"), F.col("_hash").alias("hash"))
-    # one row per partition of the keys, so as many as there are shuffle partitions
+    # one row per stretch
     heads = sorted(tuple(r["head"]) for r in keys.groupBy(F.spark_partition_id().alias("_p")).agg(F.min(place).alias("head")).collect())
     n = max(1, len(heads))
     columns = [np.array(x) for x in zip(*heads)] if heads else [np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)]
@@ -266,7 +268,7 @@ def pairs_with_next(docs: DataFrame) -> tuple[DataFrame, str]:
     own = F.struct(bucket.alias("b"), F.lit(0).alias("x"))
     placed = coded.withColumn("_to", F.explode(F.when(head, F.array(own, F.struct(before.alias("b"), F.lit(1).alias("x")))).otherwise(F.array(own))))
     out = placed.select(F.col("_to.b").alias("_bucket"), F.col("_to.x").alias("_extra"), "_id", "_hash", "_text")
-    return out.repartitionByRange(n, "_bucket").sortWithinPartitions("_bucket", "_extra", F.col("_id").asc_nulls_first(), "_hash"), "_bucket"
+    return out.repartitionByRange(n, "_bucket").sortWithinPartitions("_bucket", "_extra", F.col("_id").asc_nulls_first(), "_hash")
 
 
 def edited(text: str, following: str) -> str:
@@ -284,7 +286,7 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     The order is by doc_id, NULL first, and among equal ids by a hash of the text; repeated rows follow one another. NULL texts
     are empty. A single row is its own next. An empty table gives an empty result. Other columns are not read.
     """
-    rows, _ = pairs_with_next(docs)
+    rows = pairs_with_next(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row that waits for its next one
