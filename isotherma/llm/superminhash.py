@@ -270,7 +270,10 @@ def linked_nodes(docs: DataFrame, found: DataFrame, rule: Rule, text_col: str) -
 
 
 def groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, texthash, n (size of the set of shingles), component (smallest id of its group) and kept.
+    """Per row: id, texthash, n (size of the set of shingles), component (smallest id of its group), kept and group.
+
+    ``group`` names the group itself, which its smallest id does not where ids repeat or are NULL; rows without shingles are a group of equal texts
+    and ids.
 
     Texts with equal sets are one node and always linked. Empty and NULL texts have no shingles and are linked with nothing. A
     NULL id does not count as smallest; a group without ids has the component NULL. ``kept`` is whether the id is the component's, NULL equal to
@@ -279,10 +282,11 @@ def groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     found = stored(sketches(docs, rule, id_col, text_col), "near-sketches").select("id", "texthash", "node", "n", "bands")
     comps = linked_nodes(docs, found, rule, text_col).select(F.col("a").alias("node"), F.col("b").alias("_comp"))
     some = found.where("node IS NOT NULL").select("id", "texthash", "n", "node").join(comps, "node", "left")
-    some = some.withColumn("_comp", F.coalesce("_comp", "node"))
-    least = some.groupBy("_comp").agg(F.min("id").alias("component"))
-    rest = found.where("node IS NULL").select("id", "texthash", "n", F.col("id").alias("component"))
-    out = some.join(least, "_comp").select("id", "texthash", "n", "component").unionByName(rest)
+    some = some.withColumn("group", F.coalesce("_comp", "node"))
+    least = some.groupBy("group").agg(F.min("id").alias("component"))
+    alone = F.concat_ws(" ", F.lit("alone"), "texthash", "id").cast("binary").alias("group")
+    rest = found.where("node IS NULL").select("id", "texthash", "n", F.col("id").alias("component"), alone)
+    out = some.join(least, "group").select("id", "texthash", "n", "component", "group").unionByName(rest)
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
 
 
@@ -291,7 +295,7 @@ def one_per_group(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col:
 
     All rows without shingles stay, but for repeats. All columns pass through.
     """
-    stay = groups(docs, rule, id_col, text_col).where("kept").groupBy("component").agg(F.min("texthash").alias("_hash"))
+    stay = groups(docs, rule, id_col, text_col).where("kept").groupBy("group").agg(F.first("component").alias("component"), F.min("texthash").alias("_hash"))
     known, null = F.coalesce(F.col(id_col), F.lit(0).cast("long")), F.col(id_col).isNull()
     keys = ["_known", "_null", "_hash"]
     named = stay.select(F.coalesce("component", F.lit(0).cast("long")).alias("_known"), F.col("component").isNull().alias("_null"), "_hash")

@@ -237,6 +237,16 @@ def test_one_of_each_group_stays(make, words):
     assert superminhash.groups(df.limit(0), superminhash.Rule()).count() == 0
 
 
+def test_groups_stay_apart_without_ids_and_with_repeated_ids(make, words):
+    texts = [" ".join(words(k, 100)) for k in range(8)]
+    rows = [*[(None, t) for t in texts[:4]], (None, texts[0]), (None, None), (None, ""), (None, " "), (7, texts[4]), (7, texts[5]), (7, texts[5] + " x"), (7, ""), (8, texts[6]), (None, texts[6])]
+    out = superminhash.one_per_group(make(rows), superminhash.Rule())
+    left = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+    near = [x for x in left if x[1] and x[1].startswith(texts[5])]
+    assert len(near) == 1
+    assert left == collections.Counter([*[(None, t) for t in texts[:4]], (None, None), (None, ""), (None, " "), (7, texts[4]), near[0], (7, ""), (8, texts[6])])
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     errors = []
