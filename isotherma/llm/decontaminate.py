@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Words are runs of letters, marks and digits, lower-cased. A window is as many words of a document as an item has, placed where a shingle
-of five words of the document lines up with one of an item; a window without any such shingle cannot be similar. Each window and each item
+of five words of the document lines up with one of an item; a window without any such shingle cannot be similar. A place beyond the document's
+edge is moved to the edge, and a document shorter than the item is one window, so items cut at an edge are found. Each window and each item
 gets a 128-bit SimHash of its shingles. The fingerprints are cut into 32 blocks of 4 bits: two that differ in at most 31 bits agree
 in a block, so looking up items of the same size by block finds all within that radius. At a similarity of 0.8 SimHashes differ by 19 bits on
 average with a deviation of 4, so blocks of more bits would lose pairs; the size of the window in the key does the most to tell items apart.
@@ -71,7 +72,10 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Item-sized windows (doc, texthash, size, width, start, shingles) where a shingle of the document lines up with an item's."""
+    """Item-sized windows (doc, texthash, size, width, start, length, shingles) where a shingle of the document lines up with an item's.
+
+    ``size`` is the item's, ``length`` that of the window, which is less only if the whole document is.
+    """
     spots = items.select("width", "size", F.posexplode("shingles").alias("_at", "hash"))
     spots = stored(spots.groupBy("hash", "width").agg(F.collect_set(F.struct("_at", "size")).alias("_spots")), "leak-spots")
     small = spots.count() <= BROADCAST_SHINGLES
@@ -80,25 +84,26 @@ def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Da
     found = None
     for w in sorted(widths):
         own = spots.where(F.col("width") == w).drop("width")
-        hits = rows.select("doc", "texthash", F.posexplode(shingles_of(F.col("_words"), w)).alias("_pos", "hash"))
-        hits = hits.join(F.broadcast(own) if small else own, "hash").select("doc", "texthash", "_pos", F.explode("_spots").alias("_s"))
-        placed = hits.select("doc", "texthash", F.lit(w).alias("width"), (F.col("_pos") - F.col("_s._at")).alias("start"), F.col("_s.size").alias("size"))
+        hits = rows.select("doc", "texthash", F.size("_words").alias("_n"), F.posexplode(shingles_of(F.col("_words"), w)).alias("_pos", "hash"))
+        hits = hits.join(F.broadcast(own) if small else own, "hash").select("doc", "texthash", "_n", "_pos", F.explode("_spots").alias("_s"))
+        start = F.greatest(F.lit(0), F.least(F.col("_pos") - F.col("_s._at"), F.col("_n") - F.col("_s.size")))
+        placed = hits.select("doc", "texthash", F.lit(w).alias("width"), start.alias("start"), F.col("_s.size").alias("size"))
         found = placed if found is None else found.unionByName(placed)
     if found is None:
-        return docs.sparkSession.createDataFrame([], f"doc {docs.schema[id_col].dataType.simpleString()}, texthash long, width int, start int, size int, shingles array<long>")
-    starts = stored(found.where("start >= 0").distinct(), "leak-starts")
+        return docs.sparkSession.createDataFrame([], f"doc {docs.schema[id_col].dataType.simpleString()}, texthash long, width int, start int, size int, length int, shingles array<long>")
+    starts = stored(found.distinct(), "leak-starts")
     texts = starts.select("texthash").distinct()
     words = docs.select(F.xxhash64(text_col).alias("texthash"), words_of(F.col(text_col)).alias("_words")).join(
         F.broadcast(texts) if texts.count() <= BROADCAST_SHINGLES else texts, "texthash", "left_semi")
     kinds = starts.select("texthash", "width", "start", "size").distinct()
-    cut = kinds.join(words, "texthash").where("start + size <= size(_words)").withColumn("_own", F.slice("_words", F.col("start") + 1, F.col("size")))
+    cut = kinds.join(words, "texthash").withColumn("_own", F.slice("_words", F.col("start") + 1, F.col("size")))
     by_width = F.coalesce(*[F.when(F.col("width") == w, shingles_of(F.col("_own"), w)) for w in range(1, WORDS + 1)])
-    made = cut.select("texthash", "width", "start", "size", by_width.alias("shingles")).dropDuplicates(["texthash", "width", "start", "size"])
+    made = cut.select("texthash", "width", "start", "size", F.size("_own").alias("length"), by_width.alias("shingles")).dropDuplicates(["texthash", "width", "start", "size"])
     return starts.join(made, ["texthash", "width", "start", "size"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc, texthash, item_id, start, size, similarity): for each document and item that it holds, the most similar window, the first of equals.
+    """(doc, texthash, item_id, start, size, similarity): for each document and item that it holds, the most similar window, the first of equals, and its words.
 
     NULL, empty and word-less texts and items match nothing. A document's NULL id is an id like any other; rows that repeat id and text
     give one row per item. Items that repeat an id count as one item, those with a NULL id likewise. Empty tables give an empty result.
@@ -118,7 +123,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     verified = close.where(F.col("similarity") * 100 >= percent).select("window", "_item", "similarity")
     named = verified.join(items.select("item_id", F.xxhash64("size", "shingles").alias("_item")), "_item")
     where = spans.withColumn("window", F.xxhash64("size", "shingles")).join(named, "window")
-    best = F.min(F.struct(-F.col("similarity"), F.col("start"), F.col("size")))
+    best = F.min(F.struct(-F.col("similarity"), F.col("start"), F.col("length").alias("size")))
     out = where.groupBy("doc", "texthash", "item_id").agg(best.alias("_best"))
     return out.select("doc", "texthash", "item_id", "_best.start", "_best.size", (-F.col("_best.col1")).alias("similarity"))
 

@@ -123,6 +123,30 @@ def test_leaks_are_those_of_brute_force(spark, make, words):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_leaks_clipped_at_the_edges_of_documents(spark, make, words):
+    items = [(i, " ".join(words(900 + i, n))) for i, n in enumerate((20, 36, 59))]
+    rows = []
+    for i, (item, text) in enumerate((item, text.split()) for item, text in items):
+        more = words(i, 80)
+        for cut in range(1, 7):
+            rows += [(100 * item + 10 * cut, " ".join(text[cut:] + more)), (100 * item + 10 * cut + 1, " ".join(more + text[:-cut])), (100 * item + 10 * cut + 2, " ".join(text[cut:])),
+                     (100 * item + 10 * cut + 3, " ".join(text[:-cut])), (100 * item + 10 * cut + 4, " ".join(text[cut // 2:len(text) - (cut + 1) // 2])), (100 * item + 10 * cut + 5, " ".join(text[cut:] + more[:1]))]
+    out = decontaminate.leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc"], r["item_id"]): r["similarity"] for r in out}
+    want = best_windows(rows, items)
+    for item, text in items:  # a document shorter than the item is one window
+        bag = lambda w: collections.Counter(zip(*[w[k:] for k in range(5)]))
+        for doc, own in rows:
+            a, b = bag(text.split()), bag(own.split())
+            score = sum((a & b).values()) / sum((a | b).values())
+            if len(own.split()) < len(text.split()) and score >= 0.8:
+                want[doc, item] = score
+    assert got.keys() == want.keys() and len(want) > 50
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    sizes = {doc: len(text.split()) for doc, text in rows}
+    assert all(r["start"] >= 0 and r["start"] + r["size"] <= sizes[r["doc"]] for r in out)
+
+
 def test_decontamination_edges(spark, make):
     none = spark.createDataFrame([], "item_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
