@@ -26,7 +26,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def op1_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cleaned text."""
-    return line_chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=line_chunks.PASSAGE_WORDS)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

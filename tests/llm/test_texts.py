@@ -52,6 +52,33 @@ def test_line_chunks_against_brute_force(spark, make, words):
     assert line_chunks.dedup(df.limit(0)).count() == 0
 
 
+def test_no_chunk_has_one_line(words):
+    for n in range(2, 200):
+        assert min(map(len, line_chunks.cut("\n".join(" ".join(words(n * 1000 + k, 5)) for k in range(n)).encode()))) >= 2
+    assert min(map(len, line_chunks.cut(b"x\n" * 3000))) >= 2 and line_chunks.cut(b"x") == [[b"x"]]
+
+
+def test_passages_go_up_to_their_edges(spark, make, words, tmp_path):
+    from isotherma.llm import queries
+
+    text = lambda seed, n, size=10: [" ".join(words(seed + k, size)) for k in range(n)]
+    rows, want = [], {}
+    for k, (n, size) in enumerate([(5, 10), (6, 10), (8, 10), (12, 10), (2, 30), (3, 20), (5, 11), (20, 3)] * 5):
+        passage = text(10_000 + 100 * k, n, size)
+        for doc in (k, 100 + k):
+            before, after = text(100_000 + 1000 * doc, k % 4), text(500_000 + 1000 * doc, (k + 1) % 3)
+            rows.append((doc, "\n".join([*before, *passage, *after])))
+            want[doc] = "\n".join([*before, *(passage if doc < 100 else []), *after])
+    again = text(900_000, 6)
+    rows += [(300, "\n".join(["a", *again, *again, "b"])), (301, "\n".join(["c d e"] * 400)), (302, "\n".join([*text(950_000, 1, 60), *text(960_000, 3)])), (303, "\n".join([*text(950_000, 1, 60), *text(970_000, 3)]))]
+    want |= {300: "\n".join(["a", *again, "b"]), 302: rows[-2][1], 303: rows[-1][1]}
+    make(rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in queries.op1_line_chunks(spark, str(tmp_path)).collect()}
+    assert {d: out[d]["text"] for d in want} == want
+    left = out[301]["text"].split("\n")
+    assert 17 <= len(left) <= 128 and set(left) == {"c d e"} and out[301]["n_removed"] == 400 - len(left)
+
+
 def test_boundaries_resist_shifts(words):
     text = [" ".join(words(k, 5)).encode() for k in range(200)]
     a, b = line_chunks.cut(b"\n".join(text)), line_chunks.cut(b"\n".join([b"new line", *text]))
