@@ -167,6 +167,32 @@ def _(v):
     return grids.neighbourhood(cells, whole, "sst_c", obs_cols=["obs_id"], nx=F.col("_nx"), ny=F.col("_ny"), half_widths=HW, anomaly_from="h6")
 
 
+def wide_window_sql(h: int, name: str) -> str:
+    stats = ", ".join(f"CASE WHEN count({f}) >= 0.25*cells THEN avg({f}) END AS {f}_mean_{name}, CASE WHEN count({f}) >= 0.25*cells THEN stddev_pop({f}) END AS {f}_std_{name}" for f in FIELDS)
+    return f"""w{name} AS MATERIALIZED (SELECT obs_id, {stats} FROM (SELECT c.obs_id, (least(c.y + {h}, c.ny - 1) - greatest(c.y - {h}, 0) + 1)*{2 * h + 1} AS cells, {', '.join(f'g.{f}' for f in FIELDS)}
+  FROM c CROSS JOIN range(-{h}, {h + 1}) a(dx) CROSS JOIN range(-{h}, {h + 1}) b(dy) JOIN g ON g.dt = c.dt AND g.y = c.y + b.dy AND g.x = (c.x + a.dx + 100*c.nx) % c.nx) t GROUP BY obs_id, cells)"""
+
+
+# The reference's half-widths, on three fields.
+FIELDS = ["sst_c", "tchp", "d26"]
+WIDE_COLUMNS = [f"{f}_{s}_{n}" for f in FIELDS for n in grids.HALF_WIDTHS for s in ("mean", "std")]
+
+
+@query("j12_neighbourhood_wide", f"""WITH g AS MATERIALIZED (SELECT dt, y, x, nx, ny, {', '.join(FIELDS)} FROM fx_grid), {KNN_SQL.format(obs='fx_obs', k=1)}, c AS MATERIALIZED (SELECT o.obs_id, o.dt, k.y, k.x, g.nx, g.ny,
+    {', '.join(f'g.{f}' for f in FIELDS)} FROM fx_obs o JOIN knn k USING (lat, lon) JOIN g ON g.dt = o.dt AND g.y = k.y AND g.x = k.x), {', '.join(wide_window_sql(h, n) for n, h in grids.HALF_WIDTHS.items())}
+  SELECT c.obs_id, {', '.join(WIDE_COLUMNS)}, {', '.join(f'c.{f} - {f}_mean_1deg AS {f}_anomaly' for f in FIELDS)} FROM c {' '.join(f'JOIN w{n} USING (obs_id)' for n in grids.HALF_WIDTHS)}""",
+       " ".join([*WIDE_COLUMNS, *[f"{f}_anomaly" for f in FIELDS]]))
+def _(v):
+    cells = spatial.knn_cells(v.obs, v.geometry, 1, obs_cols=["obs_id", "dt"])
+    out = None
+    for f in FIELDS:
+        whole = grids.densify(v.grid, f, nx=F.col("nx"), ny=F.col("ny"))
+        part = grids.neighbourhood(cells, whole, f, obs_cols=["obs_id"], nx=F.col("_nx"), ny=F.col("_ny"))
+        part = part.select("obs_id", *[F.col(c).alias(f"{f}_{c}") for c in part.columns if c != "obs_id"])
+        out = part if out is None else out.join(part, "obs_id")
+    return out
+
+
 @query("j13_gradient_per_100km", """WITH g AS (SELECT * FROM fx_grid), n AS (SELECT g.dt, g.y, g.x, g.lat, g.ny, a.sst_c AS vs, a.lat AS las, b.sst_c AS vn, b.lat AS lan, c.sst_c AS vw, c.lon AS low,
     d.sst_c AS ve, d.lon AS loe, greatest(least(g.y+1, g.ny-1) - greatest(g.y-1, 0), 1) AS span FROM g
     LEFT JOIN g a ON a.dt = g.dt AND a.x = g.x AND a.y = greatest(g.y-1, 0) LEFT JOIN g b ON b.dt = g.dt AND b.x = g.x AND b.y = least(g.y+1, g.ny-1)

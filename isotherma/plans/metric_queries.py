@@ -8,7 +8,7 @@ from .. import functions as fn
 from ..operators import diagnostics as diag
 from ..operators import grids, metrics, splits
 from .join_queries import SUPPORT_SQL, support
-from .registry import hav, query
+from .registry import CATALOG, hav, query
 from .scalar_queries import BOXES, EXPERT, LAT0, LON0, PATCH, REGION5, SEASON
 
 PAIRS = "(SELECT *, obs_tchp AS o, model_tchp AS p, corrected_tchp AS c FROM fx_casts WHERE obs_tchp IS NOT NULL AND model_tchp IS NOT NULL)"
@@ -336,6 +336,12 @@ def _(v):
     return metrics.cluster_bootstrap_ci(v.casts, "obs_tchp", "model_tchp", "obs_date", reps=200)
 
 
+# The reference's number of replicates.
+@query("g29_cluster_bootstrap_ci_1000", CATALOG["g29_cluster_bootstrap_ci"].sql.replace("range(200)", "range(1000)"), "point lo hi")
+def _(v):
+    return metrics.cluster_bootstrap_ci(v.casts, "obs_tchp", "model_tchp", "obs_date")
+
+
 @query("g30_raw_bias_comparison", f"""WITH d AS (SELECT 'first' AS dataset, lat, lon, obs_date, o, p FROM {PAIRS} a UNION ALL SELECT 'second', lat, lon, obs_date, o, c FROM {PAIRS} b),
   s AS (SELECT d.*, box_key FROM (SELECT *, {LAT0} AS lat0, {LON0} AS lon0 FROM d) d LEFT JOIN (SELECT * FROM {BOXES}) b USING (lat0, lon0)),
   x AS (SELECT dataset, 'global' AS scope, obs_date, o, p FROM s UNION ALL SELECT dataset, box_key, obs_date, o, p FROM s WHERE box_key IS NOT NULL)

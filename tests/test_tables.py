@@ -155,3 +155,12 @@ def test_gates_sum_to_one_and_bundle_round_trip(spark, views, tmp_path):
     assert meta.first()["rows"] == rows.count()
     a = models.predict_delta(model, rows, feats, "model_tchp").agg(F.sum("pred")).first()[0]
     assert models.predict_delta(again, rows, feats, "model_tchp").agg(F.sum("pred")).first()[0] == pytest.approx(a)
+
+
+def test_bootstrap_and_windows_of_the_reference_are_registered():
+    from isotherma.plans import CATALOG
+
+    assert "range(1000)" in CATALOG["g29_cluster_bootstrap_ci_1000"].sql
+    wide = CATALOG["j12_neighbourhood_wide"]
+    assert {f"{f}_{s}_{n}" for f in ("tchp", "d26", "sst_c") for s in ("mean", "std") for n in ("05deg", "1deg", "2deg")} < set(wide.numbers)
+    assert all(f"range(-{h}, {h + 1})" in wide.sql for h in (6, 12, 25))
