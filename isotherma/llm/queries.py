@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, tune
-from . import blob_ledger, decontaminate, importance, line_chunks, mixing, prefix_trie, rarity_digest, slot_table, superminhash, token_files, turn_repair, warc_bundles
+from . import blob_ledger, decontaminate, importance, line_chunks, mixing, prefix_trie, rarity_digest, slot_table, superminhash, token_files, toxicity, turn_repair, warc_bundles
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 MIX_WEIGHTS = [3, 1, 2]
@@ -147,6 +147,11 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundles.read_bundles(spark, folder)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every damaged conversation with its faults and its cheapest repair."""
     return turn_repair.repaired_conversations(table(spark, sf_dir, "conversations"))
@@ -158,5 +163,5 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {q.__name__: q for q in (
-    op1_line_chunks, op2_token_files, op3_source_mixing, op4_rarity_digest, op5_secret_scan, op6_decontamination, op7_slot_sharding, op8_importance, op9_superminhash, op10_warc_bundles, op12_turn_repair, op13_prefix_trie)} | {"pipeline": corpus_pipeline.run}
+    op1_line_chunks, op2_token_files, op3_source_mixing, op4_rarity_digest, op5_secret_scan, op6_decontamination, op7_slot_sharding, op8_importance, op9_superminhash, op10_warc_bundles, op11_toxicity, op12_turn_repair, op13_prefix_trie)} | {"pipeline": corpus_pipeline.run}
 LLM_SQL = {"op3_source_mixing": OP3_SQL, "op5_secret_scan": OP5_SQL}
