@@ -10,18 +10,16 @@ import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.labels import confidence, expert_region
+from ..functions.labels import confidence
 from ..session import cut_lineage
 from .metrics import error_metrics
-from .ordered import exact_quantiles, row_positions
+from .ordered import row_positions
 
 LABEL = "_delta"
 PRIOR_WEIGHT = 0.05
@@ -47,10 +45,10 @@ def ridge_delta(rows: int, alpha: float = 1.0) -> Estimator:
     return LinearRegression(labelCol=LABEL, elasticNetParam=0.0, regParam=alpha / max(rows, 1), standardization=False, solver="normal")
 
 
-def forest_delta(trees: int = 300, min_leaf: int = 2, subset: str = "all", depth: int = 10, seed: int = 42) -> Estimator:
-    """M3"""
+def forest_delta(trees: int = 300, min_leaf: int = 2, subset: str = "all", depth: int = 30, seed: int = 42) -> Estimator:
+    """M3. Spark's trees stop at depth 30, which a table of some billion rows does not reach before its leaves are small."""
     return RandomForestRegressor(labelCol=LABEL, numTrees=trees, minInstancesPerNode=min_leaf, featureSubsetStrategy=subset,
-                                 maxDepth=depth, seed=seed)
+                                 maxDepth=depth, seed=seed, maxMemoryInMB=1024, maxBins=256)
 
 
 def boosted_delta(trees: int = 300, depth: int = 4, rate: float = 0.03, subsample: float = 0.8, columns: str = "0.8",
@@ -190,19 +188,20 @@ def _multiplier(n: int) -> int:
     return 1
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], id_col: str, *, obs: str, base: str,
-                           repeats: int = 5) -> DataFrame:
+def permutation_importance(model: PipelineModel | Callable[[DataFrame], DataFrame], df: DataFrame, features: Sequence[str], id_col: str, *,
+                           obs: str, base: str, repeats: int = 5) -> DataFrame:
     """Rise of the MAE when one column is moved between rows.
 
     Rows are numbered by id; row p takes the value of row (p·a + r) mod n, a one-to-one move. All features are moved by
-    one join per repeat.
+    one join per repeat. ``model`` is a fitted pipeline, or a function that adds ``pred`` from the features and the base value ``_base``.
     """
+    predicted = model if callable(model) else lambda d: predict_delta(model, d, features, "_base")
     rows = df.where(F.col(obs).isNotNull() & F.col(base).isNotNull())
     placed = cut_lineage(row_positions(rows, id_col, "_pos"))
     n = placed.count()
     a = _multiplier(n)
     mae = F.avg(F.abs(F.col("pred") - F.col(obs)))
-    baseline = predict_delta(model, placed, features, base).agg(mae.alias("base_mae"))
+    baseline = predicted(placed.withColumn("_base", F.col(base))).agg(mae.alias("base_mae"))
     parts = []
     for r in range(repeats):
         target = ((F.col("_pos") * F.lit(a).cast("long") + 1 + r * 31) % n).alias("_to")
@@ -210,7 +209,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
         for f in features:
             # The base value of a row stays its own, also while it is moved as a feature.
             swapped = moved.select(obs, F.col(base).alias("_base"), *[F.col(f"_m_{f}").alias(f) if c == f else F.col(c) for c in features if c != obs])
-            parts.append(predict_delta(model, swapped, features, "_base").agg(mae.alias("mae")).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "mae"))
+            parts.append(predicted(swapped).agg(mae.alias("mae")).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "mae"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -227,58 +226,6 @@ def gain_importance(model: PipelineModel, features: Sequence[str], spark: SparkS
 
 # -- mixtures -------------------------------------------------------------------------------------------------------
 
-def region_experts(train: DataFrame, val: DataFrame, features: Sequence[str], *, obs: str, base: str, prior: float = PRIOR_WEIGHT,
-                   make: Callable[..., Estimator] = boosted_delta, out: str = "pred_region") -> DataFrame:
-    """One expert per region, fitted on every row with full weight inside and ``prior`` outside; hard gate."""
-    train = train.withColumn("_region", expert_region("lat", "lon"))
-    val = val.withColumn("_region", expert_region("lat", "lon"))
-    names = sorted(r[0] for r in val.select("_region").distinct().collect())  # at most five regions
-    parts = []
-    for name in names:
-        weighted = train.withColumn("_w", F.when(F.col("_region") == name, 1.0).otherwise(prior))
-        model = fit_delta(weighted, features, make(weight="_w"), obs, base)
-        parts.append(predict_delta(model, val.where(F.col("_region") == name), features, base, out))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result.drop("_region")
-
-
-def regime_experts(train: DataFrame, val: DataFrame, features: Sequence[str], regime_features: Sequence[str], k: int, *, obs: str,
-                   base: str, prior: float = PRIOR_WEIGHT, temperature: float = GATE_TEMPERATURE, starts: int = 8,
-                   make: Callable[..., Estimator] = boosted_delta, out: str = "pred_regime") -> DataFrame:
-    """Experts per k-means regime with a soft gate exp(-d / T), T from the median validation distance.
-
-    Gate columns ``gate_<i>`` sum to 1.
-    """
-    names = [f"_f_{f}" for f in regime_features]
-    as_double = lambda d: d.select("*", *[F.col(f).cast("double").alias(f"_f_{f}") for f in regime_features])
-    rows = train.where(F.col(obs).isNotNull() & F.col(base).isNotNull())
-    scaler = Pipeline(stages=prepare(names)).fit(as_double(rows))
-    z_train = cut_lineage(scaler.transform(as_double(rows)).select(*train.columns, "features"))
-    fits = [KMeans(k=k, seed=s, maxIter=50).fit(z_train) for s in range(starts)]
-    km = min(fits, key=lambda m: m.summary.trainingCost)
-    labelled = km.transform(z_train).select(*train.columns, F.col("prediction").alias("_regime"))
-    scored = scaler.transform(as_double(val)).select(*val.columns, vector_to_array("features").alias("_z"))
-    dist = []
-    for centre in km.clusterCenters():
-        squares = [(F.get("_z", F.lit(i)) - float(c)) * (F.get("_z", F.lit(i)) - float(c)) for i, c in enumerate(centre)]
-        dist.append(F.sqrt(sum(squares[1:], squares[0])))
-    scored = scored.withColumn("_d", F.array(*dist))
-    half = exact_quantiles(scored.select(F.explode("_d").alias("d")), [], "d", [0.5]).first()["quantile"]
-    t = max(temperature * float(half), 1e-9)
-    weights = F.transform("_d", lambda d: F.exp(-d / F.lit(t)))
-    scored = scored.withColumn("_g", weights)
-    total = F.aggregate("_g", F.lit(0.0), lambda acc, g: acc + g)
-    scored = scored.select(*val.columns, *[(F.get("_g", F.lit(i)) / total).alias(f"gate_{i}") for i in range(k)])
-    for i in range(k):
-        weighted = labelled.withColumn("_w", F.when(F.col("_regime") == i, 1.0).otherwise(prior))
-        model = fit_delta(weighted, features, make(weight="_w"), obs, base)
-        scored = predict_delta(model, scored, features, base, f"_e_{i}")
-    mixed = sum((F.col(f"gate_{i}") * F.col(f"_e_{i}") for i in range(1, k)), F.col("gate_0") * F.col("_e_0"))
-    return scored.select(*val.columns, *[f"gate_{i}" for i in range(k)], mixed.alias(out))
-
-
 def blend(df: DataFrame, geo: str, regime: str, alpha: float, out: str = "pred_blend") -> DataFrame:
     """M14"""
     return df.withColumn(out, alpha * F.col(geo) + (1.0 - alpha) * F.col(regime))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import filters, metrics, models, splits
-from ..session import cut_lineage
+from ..operators import boosting, experts, filters, metrics, models, splits
+from ..session import cut_lineage, stored
 from ..sources import writers
 from .join_queries import seconds
 from .metric_queries import PAIRS
@@ -15,8 +15,8 @@ from .scalar_queries import EXPERT, SEASON
 
 FEATURES = ["lat", "lon", "model_tchp", "model_d26", "ssh_m", "mlt_m", "sst_c"]
 OBS, BASE = "obs_tchp", "model_tchp"
-# Small members, so that a check of the whole table stays short; the estimators' defaults are the full sizes.
-QUICK = {"trees": 5, "depth": 3, "rate": 0.1}
+PRIOR = models.PRIOR_WEIGHT
+REGIMES = ["model_tchp", "model_d26", "sst_c", "ssh_m", "mlt_m", "lat"]
 
 
 def table(v):
@@ -24,8 +24,55 @@ def table(v):
     return rows.withColumn("abs_lat", F.abs("lat"))
 
 
-def quick_boosted(**kw):
-    return models.boosted_delta(**{**QUICK, **kw})
+# Boosted models are fitted once per session and table: one call fits all that share rows.
+_FITTED: dict = {}
+
+
+def fitted(v, name, make):
+    at = (v.spark.sparkContext.applicationId, v.sf_dir, name)
+    if at not in _FITTED:
+        _FITTED[at] = make()
+    return _FITTED[at]
+
+
+def forward_models(v):
+    """Boosters of the forward folds, and the rows with their roles."""
+    def make():
+        rows = table(v).withColumn(models.LABEL, F.col(OBS) - F.col(BASE))
+        roles = forward(v, rows)
+        folds = models.fold_ids(roles)
+        rows = stored(experts.with_roles(rows, roles, "obs_date", folds), "forward-rows")
+        return experts.fold_plan(folds, FEATURES).fit(rows, models.LABEL, ["cast_id"]), rows, folds
+    return fitted(v, "forward", make)
+
+
+SIDES = {"outer": "year <= 1998", "inner": "year <= 1996"}
+
+
+def sided(v):
+    """Rows with their region and regimes, and the training sides: outer up to 1998, inner up to 1996."""
+    def make():
+        rows = table(v).withColumn(models.LABEL, F.col(OBS) - F.col(BASE)).withColumn(experts.REGION, fn.expert_region("lat", "lon"))
+        regions = sorted(r[0] for r in rows.select(experts.REGION).distinct().collect())  # at most five
+        found = {}
+        for side, train in SIDES.items():
+            found[side] = experts.find_regimes(side, rows.where(train), REGIMES, models.BLEND["tchp"][1])
+            rows = found[side].labelled(rows)
+        return stored(rows, "sided-rows"), regions, found
+    return fitted(v, "sides", make)
+
+
+def later_models(v):
+    """Boosters for the later years: of all rows, of the outer side, and its experts by region and regime at the usual prior."""
+    def make():
+        rows, regions, found = sided(v)
+        plan = experts.single("whole", F.expr(SIDES["outer"]), FEATURES) + experts.single("all", F.lit(True), FEATURES)
+        plan += experts.region_plan("outer", F.expr(SIDES["outer"]), regions, [PRIOR], FEATURES) + experts.regime_plan(found["outer"], F.expr(SIDES["outer"]), FEATURES)
+        return plan.fit(rows, models.LABEL, ["cast_id"])
+    return fitted(v, "later", make)
+
+
+TEST = "year >= 1999"
 
 
 def ridge(train):
@@ -73,18 +120,28 @@ def _(v):
     return scored.groupBy("month").agg(F.count(F.lit(1)).alias("rows"), F.avg("pred").alias("pred"))
 
 
-@query("m03_forest_delta")
+@query("m04_boosted_delta")
 def _(v):
-    rows = table(v)
-    model = models.fit_delta(rows.where("year <= 1998"), FEATURES, models.forest_delta(trees=10, depth=5), OBS, BASE)
-    return models.predict_delta(model, rows.where("year >= 1999"), FEATURES, BASE).select("cast_id", "pred")
+    model, rows = later_models(v), sided(v)[0]
+    scored = boosting.predict(model, rows.where(TEST), {"delta": ("whole", None)})
+    return scored.select("cast_id", (F.col(BASE) + F.col("delta")).alias("pred"))
 
 
-@query("m04_boosted_delta")
+STUMP = """SELECT f, t, gl, hl, gr, hr FROM (SELECT f, x AS t, sum(sum(y)) OVER o AS gl, sum(count(*)) OVER o AS hl, sum(sum(y)) OVER (PARTITION BY f) - sum(sum(y)) OVER o AS gr,
+    sum(count(*)) OVER (PARTITION BY f) - sum(count(*)) OVER o AS hr FROM (SELECT 'mlt_m' AS f, mlt_m AS x, {y} AS y FROM {rows} UNION ALL SELECT 'ssh_m', ssh_m, {y} FROM {rows}) GROUP BY f, x
+    WINDOW o AS (PARTITION BY f ORDER BY x)) WHERE hr > 0 ORDER BY gl*gl/(hl + 1.0) + gr*gr/(hr + 1.0) DESC, f, t LIMIT 1"""
+LEAF = "CASE WHEN CASE {s}.f WHEN 'mlt_m' THEN mlt_m ELSE ssh_m END <= {s}.t THEN 0.3*{s}.gl/({s}.hl + 1.0) ELSE 0.3*{s}.gr/({s}.hr + 1.0) END"
+
+
+# Two trees of one split each, so that SQL can say what they are.
+@query("m04_boosted_stumps", f"""WITH tr AS (SELECT *, o - p AS d FROM {PAIRS} t WHERE year <= 1998), m AS (SELECT avg(d) AS mu FROM tr), r1 AS (SELECT tr.*, d - mu AS y1 FROM tr, m),
+  s1 AS ({STUMP.format(y="y1", rows="r1")}), r2 AS (SELECT r1.*, y1 - {LEAF.format(s="s1")} AS y2 FROM r1, s1), s2 AS ({STUMP.format(y="y2", rows="r2")})
+  SELECT cast_id, p + mu + {LEAF.format(s="s1")} AS pred_1, p + mu + {LEAF.format(s="s1")} + {LEAF.format(s="s2")} AS pred_2 FROM {PAIRS} t, m, s1, s2 WHERE year >= 1999""", "pred_1 pred_2")
 def _(v):
-    rows = table(v)
-    model = models.fit_delta(rows.where("year <= 1998"), FEATURES, quick_boosted(), OBS, BASE)
-    return models.predict_delta(model, rows.where("year >= 1999"), FEATURES, BASE).select("cast_id", "pred")
+    rows = table(v).withColumn(models.LABEL, F.col(OBS) - F.col(BASE))
+    plan = experts.single("stumps", F.col("year") <= 1998, ["mlt_m", "ssh_m"], trees=2, depth=1, rate=0.3, subsample=1.0, columns=1.0)
+    scored = boosting.predict(plan.fit(rows, models.LABEL, ["cast_id"]), rows.where(TEST), {"d1": ("stumps", 1), "d2": ("stumps", None)})
+    return scored.select("cast_id", (F.col(BASE) + F.col("d1")).alias("pred_1"), (F.col(BASE) + F.col("d2")).alias("pred_2"))
 
 
 @query("m05_ensemble_mean", f"SELECT cast_id, (p + c + ssh_m)/3 AS ensemble FROM {PAIRS} t", "ensemble")
@@ -94,16 +151,8 @@ def _(v):
 
 @query("m06_oof_predict")
 def _(v):
-    rows = table(v)
-    oof = models.oof_predict(rows, forward(v, rows), "obs_date", FEATURES, quick_boosted(), obs=OBS, base=BASE)
-    return oof.select("cast_id", "fold", "pred")
-
-
-@query("m07_grid_sweep")
-def _(v):
-    rows = table(v)
-    settings = [{"trees": 3, "depth": d, "rate": 0.1} for d in (2, 3)]
-    return models.grid_sweep(rows.where("year <= 1998"), rows.where("year = 1999"), "obs_date", {"base": FEATURES}, (2,), settings, obs=OBS, base=BASE)
+    model, rows, folds = forward_models(v)
+    return experts.out_of_fold(model, rows, folds, BASE).select("cast_id", "fold", "pred")
 
 
 @query("m08_recipe_ablation")
@@ -132,27 +181,29 @@ def _(v):
 
 @query("m11_permutation_importance")
 def _(v):
-    rows = table(v).select("cast_id", OBS, *FEATURES)
-    model = models.fit_delta(rows, FEATURES, quick_boosted(), OBS, BASE)
-    return models.permutation_importance(model, rows, FEATURES, "cast_id", obs=OBS, base=BASE, repeats=1)
+    model, rows = later_models(v), sided(v)[0]
+    predict = lambda df: boosting.predict(model, df, {"_delta_hat": ("all", None)}).withColumn("pred", F.col("_base") + F.col("_delta_hat")).drop("_delta_hat")
+    return models.permutation_importance(predict, rows.select("cast_id", OBS, *FEATURES), FEATURES, "cast_id", obs=OBS, base=BASE)
 
 
 @query("m11_gain_importance")
 def _(v):
-    return models.gain_importance(models.fit_delta(table(v), FEATURES, quick_boosted(), OBS, BASE), FEATURES, v.spark)
+    model, rows = later_models(v), sided(v)[0]
+    return boosting.gains(model, "all", rows)
 
 
 @query("m12_region_experts")
 def _(v):
-    rows = table(v)
-    return models.region_experts(rows.where("year <= 1998"), rows.where("year >= 1999"), FEATURES, obs=OBS, base=BASE, make=quick_boosted).select("cast_id", "pred_region")
+    rows, regions, _ = sided(v)
+    out = experts.region_predictions(later_models(v), rows.where(TEST), "outer", regions, [PRIOR], BASE)
+    return out.select("cast_id", F.col(experts.REGION).alias("region"), F.col(f"region_{experts.tag(PRIOR)}").alias("pred_region"))
 
 
 @query("m13_regime_experts")
 def _(v):
-    rows = table(v)
-    return models.regime_experts(rows.where("year <= 1998"), rows.where("year >= 1999"), FEATURES, ["model_tchp", "model_d26", "sst_c", "ssh_m", "mlt_m", "lat"], 3,
-                                 obs=OBS, base=BASE, starts=2, make=quick_boosted).select("cast_id", "gate_0", "gate_1", "gate_2", "pred_regime")
+    rows, _, found = sided(v)
+    out = experts.regime_predictions(later_models(v), rows.where(TEST), found["outer"], BASE)
+    return out.select("cast_id", *[c for c in out.columns if c.startswith("gate_")], "pred_regime")
 
 
 @query("m14_blend", f"SELECT cast_id, 0.75*p + 0.25*c AS pred_blend FROM {PAIRS} t", "pred_blend")
@@ -188,13 +239,6 @@ def _(v):
     return long_metrics(whole, {"global": "pred"}).unionByName(long_metrics(own, {"local": "pred"}))
 
 
-@query("m18_capacity_sweep")
-def _(v):
-    rows = table(v)
-    settings = [{"trees": 4, "depth": d, "rate": 0.1} for d in (2, 4)]
-    return models.grid_sweep(rows.where("year <= 1998"), rows.where("year = 1999"), "obs_date", {"reduced": ["lat", "model_tchp", "sst_c"]}, (2,), settings, obs=OBS, base=BASE)
-
-
 SCORE_SQL = f"""WITH q AS (SELECT cast_id AS query_id, lat, lon, dt, dt + INTERVAL 12 HOUR AS at FROM fx_casts),
   n AS (SELECT q.query_id, q.dt, g.y, g.x, g.tchp, {hav('q.lon', 'q.lat', 'g.lon', 'g.lat')} AS km FROM q JOIN fx_grid g ON g.dt = q.dt AND g.sst_c IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round((g.lat-q.lat)*(g.lat-q.lat) + (g.lon-q.lon)*(g.lon-q.lon), 9), g.y, g.x) = 1),

@@ -143,12 +143,10 @@ def test_oof_has_no_leak_and_adds_the_base(spark, views):
     assert oof.count() == rows.join(roles.where("role = 'validation'"), "obs_date").count()
 
 
-def test_gates_sum_to_one_and_bundle_round_trip(spark, views, tmp_path):
+def test_bundle_round_trip(spark, views, tmp_path):
     rows = small_table(views)
     feats = ["lat", "model_tchp", "sst_c"]
     quick = lambda **kw: models.boosted_delta(trees=2, depth=2, **kw)
-    out = models.regime_experts(rows, rows, feats, feats, 2, obs="obs_tchp", base="model_tchp", starts=2, make=quick)
-    assert out.where(F.abs(F.col("gate_0") + F.col("gate_1") - 1) > 1e-9).count() == 0
     model = models.fit_delta(rows, feats, quick(), "obs_tchp", "model_tchp")
     models.freeze_bundle(model, rows, str(tmp_path / "b"), features=feats, obs="obs_tchp")
     again, meta = models.load_bundle(spark, str(tmp_path / "b"))
