@@ -33,7 +33,9 @@ HEAD = "<QQQ"
 CACHED = 600_000  # chunks in each of two generations, and half as many pieces, whose ids a worker keeps
 LONGEST = 48  # characters of a chunk that is kept
 BEYOND = "\u0250"  # letters below are classed alike by all libraries
+SPACE_LETTER = "\u0120"  # by which byte-level vocabularies spell a space
 END = 0
+WRITE_BYTES = 1 << 22  # written at once
 MANIFEST = "part long, name string, docs long, ids long"
 ROWS = 4_000
 
@@ -59,6 +61,7 @@ class ChunkEncoder:
     """
 
     single_space = re.compile(r"(?<=\S) (?=\S)")
+    other_space = re.compile(r"[^\S \n]|[ \n] | \n|\A | \Z")
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -90,10 +93,19 @@ class ChunkEncoder:
         """Ids of a space and the chunk."""
         found = self.chunks.old.get(text)
         if found is None:
-            if len(text) > LONGEST or not text or max(text) >= BEYOND:
+            if len(text) > LONGEST or not text:
                 return self.plain(" " + text)
-            young = self.parts.young
-            found = b"".join([young.get(x) or self.piece(x) for x in self.pieces.findall(" " + text)])
+            if text.isascii() and text.isalpha():  # one piece, spelled as it is
+                found = array(self.width, [x.id for x in self.model.tokenize(SPACE_LETTER + text)]).tobytes()
+            elif max(text) >= BEYOND:
+                return self.plain(" " + text)
+            else:
+                young = self.parts.young
+                if text[-1] in ",." and text[:-1].isalpha():  # a word and the mark behind it
+                    pieces = (" " + text[:-1], text[-1])
+                else:
+                    pieces = (" " + text,) if text.isalpha() else self.pieces.findall(" " + text)
+                found = b"".join([young.get(x) or self.piece(x) for x in pieces])
         self.chunks.add(text, found)
         return found
 
@@ -101,7 +113,7 @@ class ChunkEncoder:
         if not self.splits or any(x in text for x in self.special):
             return self.plain(text)
         chunks = text.split(" ")
-        if len(text.split()) != len(chunks) + text.count("\n"):  # white space next to white space, or of another kind
+        if self.other_space.search(text):  # white space next to white space, at the ends, or of another kind
             chunks = self.single_space.split(text)
         head = self.plain(chunks[0]) if chunks[0] else b""
         del chunks[0]
@@ -141,14 +153,18 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
         end = np.array([END], codec.dtype).tobytes()
         store, path = opened(folder)
         name, ids, bounds, nulls = f"{task.partitionId():06d}-{task.taskAttemptId()}", [], [0], 0
-        out = None
+        out, waiting, size = None, [], 0
         for batch in batches:
             if out is None:
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{path}/{name}.ids", compression=None)
             for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_text")):
                 data = codec.encode(text.as_py() or "") + end
-                out.write(data)
+                waiting.append(data)
+                size += len(data)
+                if size >= WRITE_BYTES:
+                    out.write(b"".join(waiting))
+                    waiting, size = [], 0
                 bounds.append(bounds[-1] + len(data) // codec.dtype.itemsize)
                 if doc is None:
                     nulls += 1
@@ -156,6 +172,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
                     ids.append(doc)
         if out is None:
             return
+        out.write(b"".join(waiting))
         out.close()
         first = elias_fano.encode(np.array(bounds, np.int64))
         with store.open_output_stream(f"{path}/{name}.ef", compression=None) as f:
