@@ -61,7 +61,6 @@ class ChunkEncoder:
     """
 
     single_space = re.compile(r"(?<=\S) (?=\S)")
-    other_space = re.compile(r"[^\S \n]|[ \n] | \n|\A | \Z")
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -113,7 +112,7 @@ class ChunkEncoder:
         if not self.splits or any(x in text for x in self.special):
             return self.plain(text)
         chunks = text.split(" ")
-        if self.other_space.search(text):  # white space next to white space, at the ends, or of another kind
+        if "" in chunks or len(text.split()) != len(chunks) + text.count("\n"):  # white space next to white space, or of another kind
             chunks = self.single_space.split(text)
         head = self.plain(chunks[0]) if chunks[0] else b""
         del chunks[0]
