@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import boosting, experts, filters, metrics, models, splits
+from ..operators import boosting, experts, filters, metrics, models, recipes, ridge, splits
 from ..session import cut_lineage, stored
 from ..sources import writers
 from .join_queries import seconds
@@ -75,7 +75,7 @@ def later_models(v):
 TEST = "year >= 1999"
 
 
-def ridge(train):
+def penalty(train):
     """The penalty follows the rows of each fit."""
     return models.ridge_delta(train.count())
 
@@ -155,28 +155,79 @@ def _(v):
     return experts.out_of_fold(model, rows, folds, BASE).select("cast_id", "fold", "pred")
 
 
+def recipe_rows(v):
+    """Casts with every column that the named recipes use: their own, those of their levels, and those of the grid's band of the day."""
+    deep = v.levels.groupBy("cast_id").agg(
+        F.avg("sigma0").alias("model_steric_1000_ref2000_m"), F.max("sigma0").alias("model_n2_max_upper200_s2"), F.stddev_pop("sigma0").alias("model_n2_mean_to_d26_s2"),
+        F.avg("rho").alias("model_steric_0_1000_m"), F.max("depth_m").alias("model_ild_m"), F.min("depth_m").alias("model_blt_dt02_m"),
+        F.max("rho").alias("model_n2_max_near_mld_s2"), F.min("rho").alias("model_n2_max_above_mld_s2"), F.avg("depth_m").alias("model_barrier_layer_thickness_m"))
+    band = F.floor(F.col("lat") / 10)
+    near = v.grid.groupBy("dt", band.alias("band")).agg(*[e for f, s in (("tchp", "tchp"), ("d26", "d26"), ("sst_c", "sst")) for e in (
+        F.stddev_pop(f).alias(f"model_{s}_local_std_1deg"), (F.max(f) - F.min(f)).alias(f"model_{s}_grad_mag_per_100km"), F.avg(f).alias(f"model_{s}_anom_from_1deg_mean"))],
+        (F.max("tchp") - F.avg("tchp")).alias("model_tchp_local_std_2deg"))
+    own = {
+        "model_interp_tchp_kj_per_cm2": "model_tchp", "model_interp_d26_m": "model_d26", "month_int": "month", "month_sin": "sin(2*pi()*month/12)", "month_cos": "cos(2*pi()*month/12)",
+        "doy_sin": "sin(2*pi()*dayofyear(obs_date)/365.25)", "doy_cos": "cos(2*pi()*dayofyear(obs_date)/365.25)", "is_winter_jfm": "int(month <= 3)", "is_summer_jas": "int(month BETWEEN 7 AND 9)",
+        "is_other": "int(month NOT IN (1, 2, 3, 7, 8, 9))", "abs_lat": "abs(lat)", "nearest_rtofs_grid_distance_km": "(cast_id % 97)/10.0", "model_ssh_m": "ssh_m",
+        "model_mixed_layer_thickness_m": "mlt_m", "model_surface_boundary_layer_thickness_m": "sblt_m", "model_temp_excess_26c": "sst_c - 26", "model_surface_temp_c": "sst_c",
+        "model_ssh_x_abs_lat": "ssh_m*abs(lat)", "model_mlt_x_abs_lat": "mlt_m*abs(lat)", "model_temp_excess_x_abs_lat": "(sst_c - 26)*abs(lat)",
+        "d26_minus_mlt_m": "model_d26 - mlt_m", "d26_to_sblt_ratio": "model_d26/nullif(sblt_m, 0)"}
+    rows = v.casts.withColumns({n: F.expr(e) for n, e in own.items()}).withColumn("band", band)
+    return rows.join(deep, "cast_id", "left").join(near, ["dt", "band"], "left")
+
+
+def with_forward(v, rows):
+    roles = forward(v, rows)
+    folds = models.fold_ids(roles)
+    return experts.with_roles(rows, roles, "obs_date", folds), folds
+
+
 @query("m08_recipe_ablation")
 def _(v):
-    rows = cut_lineage(table(v))
-    sets = {"place": ["lat", "lon"], "state": ["model_tchp", "model_d26"], "all": FEATURES, "needs_profiles": [*FEATURES, "model_n2_max_upper200_s2"]}
-    return models.recipe_ablation(rows, forward(v, rows), "obs_date", sets, ridge, obs=OBS, base=BASE, optional=["model_n2_max_upper200_s2"])
+    """The eleven recipes of each target."""
+    rows, folds = with_forward(v, stored(recipe_rows(v), "recipe-rows"))
+    parts = [ridge.ablation(rows, folds, recipes.recipes(t), obs=f"obs_{t}", base=f"model_{t}", target=t) for t in ("tchp", "d26")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("m09_geography_ladder")
 def _(v):
-    rows = cut_lineage(table(v).withColumn("tile", fn.tile15("lat", "lon")))
-    sets = {"state": ["model_tchp", "model_d26"], "abslat": ["model_tchp", "model_d26", "abs_lat"], "geo": ["model_tchp", "model_d26", "abs_lat", "lat", "lon"]}
-    parts = [models.recipe_ablation(rows, forward(v, rows), "obs_date", sets, ridge, obs=OBS, base=BASE, split="forward")]
-    for split, group in (("tile", "tile"), ("platform", "platform")):
-        roles = cut_lineage(splits.group_roles(rows, group, 2))
-        parts.append(models.recipe_ablation(rows, roles, group, sets, ridge, obs=OBS, base=BASE, split=split))
+    """The four nested sets over forward, tile and platform folds."""
+    rows = stored(recipe_rows(v).withColumn("tile", fn.tile15("lat", "lon")), "ladder-rows")
+    sets = recipes.geography_ladder(recipes.STATE)
+    parts = []
+    for split, key in (("forward", "obs_date"), ("tile", "tile"), ("platform", "platform")):
+        usable = rows.where("obs_tchp IS NOT NULL AND model_tchp IS NOT NULL")
+        roles = forward(v, usable) if split == "forward" else cut_lineage(splits.group_roles(usable, key))
+        folds = models.fold_ids(roles)
+        parts.append(ridge.ablation(experts.with_roles(usable, roles, key, folds), folds, sets, obs=OBS, base=BASE, split=split))
     return metrics.ablation_increments(parts[0].unionByName(parts[1]).unionByName(parts[2]), list(sets))
 
 
 @query("m10_backward_elimination")
 def _(v):
-    rows = cut_lineage(table(v).select("obs_date", OBS, *FEATURES))
-    return models.backward_elimination(rows, forward(v, rows), "obs_date", ["lat", "ssh_m", "mlt_m", "sst_c"], ridge, obs=OBS, base=BASE, keep=3)
+    """The largest recipe down to four features."""
+    rows, folds = with_forward(v, stored(recipe_rows(v), "elimination-rows"))
+    whole = max(recipes.recipes("tchp").values(), key=len)
+    return ridge.elimination(rows, folds, whole, obs=OBS, base=BASE)
+
+
+def line(x, y, w, n):
+    """Slope and intercept, in SQL, of a ridge on two features with penalty 1."""
+    sxx, szz, sxz, sxy, szy = (f"covar_pop({a}, {b})*count(*)" for a, b in ((x, x), (w, w), (x, w), (x, y), (w, y)))
+    det = f"(({sxx} + 1)*({szz} + 1) - {sxz}*{sxz})"
+    return f"(({szz} + 1)*{sxy} - {sxz}*{szy})/{det} AS bx{n}, (({sxx} + 1)*{szy} - {sxz}*{sxy})/{det} AS bz{n}, avg({x}) AS mx{n}, avg({w}) AS mz{n}, avg({y}) AS my{n}"
+
+
+# Two sets of two features each, solved from the same moments.
+@query("m08_two_feature_sets", f"""WITH tr AS (SELECT *, o - p AS d FROM {PAIRS} t WHERE year <= 1997), s AS (SELECT {line("mlt_m", "d", "ssh_m", 1)}, {line("sst_c", "d", "p", 2)} FROM tr),
+  r AS (SELECT 'mlt_ssh' AS feature_set, p + my1 + bx1*(mlt_m - mx1) + bz1*(ssh_m - mz1) - o AS e FROM {PAIRS} t, s WHERE year >= 1998
+    UNION ALL SELECT 'sst_model', p + my2 + bx2*(sst_c - mx2) + bz2*(p - mz2) - o FROM {PAIRS} t, s WHERE year >= 1998)
+  SELECT feature_set, count(*) AS rows, avg(abs(e)) AS mae, avg(e) AS bias FROM r GROUP BY feature_set""", "mae bias")
+def _(v):
+    rows = table(v).withColumn("role_1", F.when(F.col("year") <= 1997, "train").otherwise("validation"))
+    sets = {"mlt_ssh": ["mlt_m", "ssh_m"], "sst_model": ["sst_c", "model_tchp"]}
+    return ridge.ablation(rows, [1], sets, obs=OBS, base=BASE).select("feature_set", "rows", "mae", "bias")
 
 
 @query("m11_permutation_importance")
@@ -225,18 +276,23 @@ def _(v):
     # From the grid, so that no observation a fold validates on is in it.
     clim = v.grid.groupBy(F.month("dt").alias("month")).agg(F.avg("tchp").alias("clim_tchp"))
     rows = cut_lineage(rows.join(clim, "month"))
-    oof = models.oof_predict(rows, forward(v, rows), "obs_date", [*FEATURES, "clim_tchp"], ridge, obs=OBS, base="clim_tchp")
+    oof = models.oof_predict(rows, forward(v, rows), "obs_date", [*FEATURES, "clim_tchp"], penalty, obs=OBS, base="clim_tchp")
     return long_metrics(oof, {"climatology": "clim_tchp", "corrected": "pred"}, ["fold"])
 
 
 @query("m17_local_vs_global")
 def _(v):
-    rows = table(v)
-    local = rows.where(filters.in_bbox(-110, 0, -40, 50))
-    roles = forward(v, rows)
-    whole = models.oof_predict(rows, roles, "obs_date", FEATURES, ridge, obs=OBS, base=BASE).where(filters.in_bbox(-110, 0, -40, 50))
-    own = models.oof_predict(local, roles, "obs_date", FEATURES, ridge, obs=OBS, base=BASE)
-    return long_metrics(whole, {"global": "pred"}).unionByName(long_metrics(own, {"local": "pred"}))
+    """Models of all rows and of the Gulf's own, both validated on the Gulf."""
+    rows, folds = with_forward(v, table(v).withColumn(models.LABEL, F.col(OBS) - F.col(BASE)))
+    inside = filters.in_bbox(-110, 0, -40, 50)
+    rows = rows.withColumns({f"_{k}_{f}": (F.col(f"role_{f}") == role) & (inside if k != "global" else F.lit(True)) for f in folds for k, role in (("global", "train"), ("local", "train"), ("val", "validation"))})
+    rows = stored(rows, "local-rows")
+    parts = []
+    for name in ("global", "local"):
+        m = ridge.moments(rows, FEATURES, models.LABEL, [f"_{name}_{f}" for f in folds])
+        long = ridge.predictions(rows, m, {name: FEATURES}, [f"_val_{f}" for f in folds], BASE, keep=[OBS])
+        parts.append(long_metrics(long, {name: "pred"}))
+    return parts[0].unionByName(parts[1])
 
 
 SCORE_SQL = f"""WITH q AS (SELECT cast_id AS query_id, lat, lon, dt, dt + INTERVAL 12 HOUR AS at FROM fx_casts),
