@@ -147,30 +147,14 @@ def _(v):
     return rows.select("cast_id", "ilat", "ilon", "clim", fn.model_minus_climatology("model_tchp", "clim").alias("model_minus_clim"))
 
 
-HW = {"h2": 2, "h6": 6}
-
-
-def window_sql(h: int, name: str) -> str:
-    return f"""{name} AS (SELECT c.obs_id, count(g.sst_c) AS n, avg(g.sst_c) AS m, stddev_pop(g.sst_c) AS s, any_value(least(c.y + {h}, c.ny - 1) - greatest(c.y - {h}, 0) + 1)*{2 * h + 1} AS cells
-  FROM c CROSS JOIN range(-{h}, {h + 1}) w(dx) JOIN fx_grid g ON g.dt = c.dt AND g.x = (c.x + w.dx + 10*c.nx) % c.nx AND g.y BETWEEN c.y - {h} AND c.y + {h} GROUP BY c.obs_id)"""
-
-
-@query("j12_neighbourhood", f"""WITH {KNN_SQL.format(obs='fx_obs', k=1)}, c AS (SELECT o.obs_id, o.dt, k.y, k.x, g.nx, g.ny, g.sst_c FROM fx_obs o JOIN knn k USING (lat, lon)
-    JOIN fx_grid g ON g.dt = o.dt AND g.y = k.y AND g.x = k.x), {window_sql(2, 'w2')}, {window_sql(6, 'w6')}
-  SELECT c.obs_id, CASE WHEN w2.n >= 0.25*w2.cells THEN w2.m END AS mean_h2, CASE WHEN w2.n >= 0.25*w2.cells THEN w2.s END AS std_h2,
-    CASE WHEN w6.n >= 0.25*w6.cells THEN w6.m END AS mean_h6, CASE WHEN w6.n >= 0.25*w6.cells THEN w6.s END AS std_h6,
-    c.sst_c - CASE WHEN w6.n >= 0.25*w6.cells THEN w6.m END AS anomaly FROM c JOIN w2 USING (obs_id) JOIN w6 USING (obs_id)""",
-       "mean_h2 std_h2 mean_h6 std_h6 anomaly")
-def _(v):
-    cells = spatial.knn_cells(v.obs, v.geometry, 1, obs_cols=["obs_id", "dt"])
-    whole = grids.densify(v.grid, "sst_c", nx=F.col("nx"), ny=F.col("ny"))
-    return grids.neighbourhood(cells, whole, "sst_c", obs_cols=["obs_id"], nx=F.col("_nx"), ny=F.col("_ny"), half_widths=HW, anomaly_from="h6")
-
-
 def wide_window_sql(h: int, name: str) -> str:
-    stats = ", ".join(f"CASE WHEN count({f}) >= 0.25*cells THEN avg({f}) END AS {f}_mean_{name}, CASE WHEN count({f}) >= 0.25*cells THEN stddev_pop({f}) END AS {f}_std_{name}" for f in FIELDS)
-    return f"""w{name} AS MATERIALIZED (SELECT obs_id, {stats} FROM (SELECT c.obs_id, (least(c.y + {h}, c.ny - 1) - greatest(c.y - {h}, 0) + 1)*{2 * h + 1} AS cells, {', '.join(f'g.{f}' for f in FIELDS)}
-  FROM c CROSS JOIN range(-{h}, {h + 1}) a(dx) CROSS JOIN range(-{h}, {h + 1}) b(dy) JOIN g ON g.dt = c.dt AND g.y = c.y + b.dy AND g.x = (c.x + a.dx + 100*c.nx) % c.nx) t GROUP BY obs_id, cells)"""
+    """Sums along the rows of the grid at every column, then over the rows of each observation's window."""
+    along = ", ".join(f"count(k.{f}) AS n_{f}, sum(k.{f}) AS s_{f}, sum(k.{f}*k.{f}) AS q_{f}" for f in FIELDS)
+    stats = ", ".join(f"CASE WHEN sum(n_{f}) >= 0.25*cells THEN sum(s_{f})/sum(n_{f}) END AS {f}_mean_{name}, "
+                      f"CASE WHEN sum(n_{f}) >= 0.25*cells THEN sqrt(greatest(sum(q_{f})/sum(n_{f}) - pow(sum(s_{f})/sum(n_{f}), 2), 0)) END AS {f}_std_{name}" for f in FIELDS)
+    return f"""r{name} AS MATERIALIZED (SELECT d.dt, d.y, d.x, {along} FROM d CROSS JOIN range(-{h}, {h + 1}) a(dx) JOIN g k ON k.dt = d.dt AND k.y = d.y AND k.x = (d.x + a.dx + 100*d.nx) % d.nx GROUP BY ALL),
+  w{name} AS MATERIALIZED (SELECT obs_id, {stats} FROM (SELECT c.obs_id, (least(c.y + {h}, c.ny - 1) - greatest(c.y - {h}, 0) + 1)*{2 * h + 1} AS cells, r.*
+  FROM c CROSS JOIN range(-{h}, {h + 1}) b(dy) JOIN r{name} r ON r.dt = c.dt AND r.y = c.y + b.dy AND r.x = c.x) t GROUP BY obs_id, cells)"""
 
 
 # The reference's half-widths, on three fields.
@@ -179,18 +163,13 @@ WIDE_COLUMNS = [f"{f}_{s}_{n}" for f in FIELDS for n in grids.HALF_WIDTHS for s
 
 
 @query("j12_neighbourhood_wide", f"""WITH g AS MATERIALIZED (SELECT dt, y, x, nx, ny, {', '.join(FIELDS)} FROM fx_grid), {KNN_SQL.format(obs='fx_obs', k=1)}, c AS MATERIALIZED (SELECT o.obs_id, o.dt, k.y, k.x, g.nx, g.ny,
-    {', '.join(f'g.{f}' for f in FIELDS)} FROM fx_obs o JOIN knn k USING (lat, lon) JOIN g ON g.dt = o.dt AND g.y = k.y AND g.x = k.x), {', '.join(wide_window_sql(h, n) for n, h in grids.HALF_WIDTHS.items())}
+    {', '.join(f'g.{f}' for f in FIELDS)} FROM fx_obs o JOIN knn k USING (lat, lon) JOIN g ON g.dt = o.dt AND g.y = k.y AND g.x = k.x),
+  d AS MATERIALIZED (SELECT dt, y, nx, unnest(range(nx))::INT AS x FROM (SELECT DISTINCT dt, y, nx FROM g) e), {', '.join(wide_window_sql(h, n) for n, h in grids.HALF_WIDTHS.items())}
   SELECT c.obs_id, {', '.join(WIDE_COLUMNS)}, {', '.join(f'c.{f} - {f}_mean_1deg AS {f}_anomaly' for f in FIELDS)} FROM c {' '.join(f'JOIN w{n} USING (obs_id)' for n in grids.HALF_WIDTHS)}""",
        " ".join([*WIDE_COLUMNS, *[f"{f}_anomaly" for f in FIELDS]]))
 def _(v):
     cells = spatial.knn_cells(v.obs, v.geometry, 1, obs_cols=["obs_id", "dt"])
-    out = None
-    for f in FIELDS:
-        whole = grids.densify(v.grid, f, nx=F.col("nx"), ny=F.col("ny"))
-        part = grids.neighbourhood(cells, whole, f, obs_cols=["obs_id"], nx=F.col("_nx"), ny=F.col("_ny"))
-        part = part.select("obs_id", *[F.col(c).alias(f"{f}_{c}") for c in part.columns if c != "obs_id"])
-        out = part if out is None else out.join(part, "obs_id")
-    return out
+    return grids.neighbourhood(cells, v.grid, FIELDS, obs_cols=["obs_id"], nx=F.col("nx"), ny=F.col("ny"))
 
 
 @query("j13_gradient_per_100km", """WITH g AS (SELECT * FROM fx_grid), n AS (SELECT g.dt, g.y, g.x, g.lat, g.ny, a.sst_c AS vs, a.lat AS las, b.sst_c AS vn, b.lat AS lan, c.sst_c AS vw, c.lon AS low,

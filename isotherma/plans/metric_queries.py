@@ -326,18 +326,12 @@ def _(v):
     return metrics.suspicious_rows(rows).select("cast_id", "d26_m", "tchp_kj_per_cm2")
 
 
-@query("g29_cluster_bootstrap_ci", f"""WITH d AS (SELECT obs_date, count(*) AS n, sum(abs(p-o)) AS a, sum(p-o) AS b, sum(pow(p-o, 2)) AS c, row_number() OVER (ORDER BY obs_date) - 1 AS i, count(*) OVER () AS m FROM {PAIRS} t GROUP BY obs_date),
-  r AS (SELECT rep, sum(e.n) AS n, sum(e.a) AS a, sum(e.b) AS b, sum(e.c) AS c FROM d CROSS JOIN range(200) g(rep) JOIN d e ON e.i = {metrics.fixed_draw('rep::BIGINT', 'd.i', 'd.m', lambda a, b: f'xor({a}, {b})', '//')} GROUP BY rep),
+@query("g29_cluster_bootstrap_ci_1000", f"""WITH d AS (SELECT obs_date, count(*) AS n, sum(abs(p-o)) AS a, sum(p-o) AS b, sum(pow(p-o, 2)) AS c, row_number() OVER (ORDER BY obs_date) - 1 AS i, count(*) OVER () AS m FROM {PAIRS} t GROUP BY obs_date),
+  r AS (SELECT rep, sum(e.n) AS n, sum(e.a) AS a, sum(e.b) AS b, sum(e.c) AS c FROM d CROSS JOIN range(1000) g(rep) JOIN d e ON e.i = {metrics.fixed_draw('rep::BIGINT', 'd.i', 'd.m', lambda a, b: f'xor({a}, {b})', '//')} GROUP BY rep),
   p AS (SELECT sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM d)
   SELECT 'mae' AS metric, (SELECT a/n FROM p) AS point, quantile_cont(a/n, 0.025) AS lo, quantile_cont(a/n, 0.975) AS hi FROM r UNION ALL
   SELECT 'rmse', (SELECT sqrt(c/n) FROM p), quantile_cont(sqrt(c/n), 0.025), quantile_cont(sqrt(c/n), 0.975) FROM r UNION ALL
   SELECT 'abs_bias', (SELECT abs(b/n) FROM p), quantile_cont(abs(b/n), 0.025), quantile_cont(abs(b/n), 0.975) FROM r""", "point lo hi")
-def _(v):
-    return metrics.cluster_bootstrap_ci(v.casts, "obs_tchp", "model_tchp", "obs_date", reps=200)
-
-
-# The reference's number of replicates.
-@query("g29_cluster_bootstrap_ci_1000", CATALOG["g29_cluster_bootstrap_ci"].sql.replace("range(200)", "range(1000)"), "point lo hi")
 def _(v):
     return metrics.cluster_bootstrap_ci(v.casts, "obs_tchp", "model_tchp", "obs_date")
 

@@ -87,10 +87,10 @@ def _(v):
 
 
 @query("j11_climatology_lookup", """WITH o AS (SELECT cast_id, month, model_tchp, least(greatest(CAST(floor(lat + 90.0) AS INT), 0), 179) AS ilat, least(greatest(CAST(floor(lon + 180.0) AS INT), 0), 359) AS ilon FROM fx_casts),
-  c AS (SELECT month, ilat, ilon, avg(model_tchp) AS clim FROM o WHERE cast_id % 2 = 0 GROUP BY ALL)
+  c AS (SELECT month, ilat, ilon, avg(model_tchp) AS clim FROM o GROUP BY ALL)
   SELECT o.cast_id, o.ilat, o.ilon, c.clim FROM o LEFT JOIN c USING (month, ilat, ilon)""", "clim")
 def _(v):
-    cells = v.casts.where("cast_id % 2 = 0").select(
+    cells = v.casts.select(
         "month", "model_tchp", joins.climatology_cell("lat", -89.5, n=180).alias("ilat"), joins.climatology_cell("lon", -179.5, n=360).alias("ilon"))
     clim = cells.groupBy("month", "ilat", "ilon").agg(F.avg("model_tchp").alias("clim"))
     return joins.climatology_lookup(v.casts, clim, ["clim"]).select("cast_id", "ilat", "ilon", "clim")
