@@ -12,7 +12,7 @@ HEADLINE = [
     "flagship_model_error_by_region_season", "a03_heat_excess_trapezoid", "a05_heat_excess_layers", "a08_layer_depths",
     "j01_nearest_cell", "j03_idw_sample", "j04_support_join", "j05_nearest_support_km", "j12_neighbourhood_wide",
     "j13_gradient_per_100km", "j17_gaussian_grid", "g02_grouped_metrics", "g06_delta_statistics", "g07_box_stats",
-    "g17_seasonal_mean_field", "g22_error_cdf", "g29_cluster_bootstrap_ci_1000", "e01_forward_folds", "m06_oof_predict",
+    "g17_seasonal_mean_field", "g22_error_cdf", "g29_cluster_bootstrap_ci_1000", "e01_forward_folds", "m08_recipe_ablation",
 ]
 
 
