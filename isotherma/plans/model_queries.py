@@ -39,9 +39,9 @@ def forward_models(v):
     """Boosters of the forward folds, and the rows with their roles."""
     def make():
         rows = table(v).withColumn(models.LABEL, F.col(OBS) - F.col(BASE))
-        roles = forward(v, rows)
+        roles = splits.forward_folds(rows, "obs_date")
         folds = models.fold_ids(roles)
-        rows = stored(experts.with_roles(rows, roles, "obs_date", folds), "forward-rows")
+        rows = experts.with_roles(rows, roles, "obs_date", folds)  # not stored: it outlives the query
         return experts.fold_plan(folds, FEATURES).fit(rows, models.LABEL, ["cast_id"]), rows, folds
     return fitted(v, "forward", make)
 
@@ -58,7 +58,7 @@ def sided(v):
         for side, train in SIDES.items():
             found[side] = experts.find_regimes(side, rows.where(train), REGIMES, models.BLEND["tchp"][1])
             rows = found[side].labelled(rows)
-        return stored(rows, "sided-rows"), regions, found
+        return rows, regions, found
     return fitted(v, "sides", make)
 
 
