@@ -49,9 +49,9 @@ def op4_rarity_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u
+         ('0x' || substr(md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS u
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, sum(sum(size)) OVER ()::BIGINT AS total,
@@ -67,18 +67,26 @@ p AS (
   SELECT source, source_size, least(cap, coalesce(weight * l.lev, cap)) AS target,
          CASE WHEN source_size > 0 THEN floor(least(cap, coalesce(weight * l.lev, cap)) / source_size)::BIGINT ELSE 0 END AS whole
   FROM v CROSS JOIN l),
-q AS (
-  SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS part,
-         sum(size) OVER (PARTITION BY d.source ORDER BY u, size ROWS UNBOUNDED PRECEDING) AS cum
+q AS (  -- a place for every row in its source's order
+  SELECT d.*, p.source_size, p.target, p.whole, floor(p.target - p.whole * p.source_size + 1e-6)::BIGINT AS part,
+         row_number() OVER (PARTITION BY d.source ORDER BY u, size) AS pos
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-c AS (SELECT *, max(CASE WHEN part > 0 AND cum - size / 2.0 <= part THEN (u, size) END) OVER (PARTITION BY source) AS cut FROM q),
-i AS (SELECT *, coalesce((u, size) <= cut, false) AS first FROM c),
-g AS (SELECT *, part - sum(CASE WHEN first THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM i),
-f AS (
-  SELECT *, min(CASE WHEN NOT first AND part > 0 AND abs(gap - size) < abs(gap) THEN (abs(gap - size), u, size) END)
-            OVER (PARTITION BY source) AS best FROM g)
+w AS (  -- from a place on, what is left of the fraction: up to the next row that is smaller than that but does not fit any more
+  SELECT source, max(part) AS room, 0::BIGINT AS pos FROM q GROUP BY source
+  UNION ALL
+  SELECT source, min(room) - coalesce(max(CASE WHEN cum <= room THEN cum END), 0)::BIGINT, min(CASE WHEN cum > room THEN pos END)
+  FROM (SELECT q.source, w.room, q.pos, sum(q.size) OVER (PARTITION BY q.source ORDER BY q.pos ROWS UNBOUNDED PRECEDING) AS cum
+        FROM q JOIN w ON q.source IS NOT DISTINCT FROM w.source
+        WHERE w.pos IS NOT NULL AND q.pos > w.pos AND q.size > 0 AND q.size <= w.room) x
+  GROUP BY source),
+n AS (SELECT *, lead(pos) OVER (PARTITION BY source ORDER BY pos NULLS LAST) AS stop, min(room) OVER (PARTITION BY source) AS gap FROM w),
+t AS (
+  SELECT q.*, n.gap, q.size > 0 AND n.pos IS NOT NULL AND q.size <= n.room AND q.pos < coalesce(n.stop, 9e18) AS walked
+  FROM q JOIN n ON q.source IS NOT DISTINCT FROM n.source AND (q.pos >= n.pos AND (n.stop IS NULL OR q.pos < n.stop))),
+f AS (  -- the smallest row not taken, if it comes nearer
+  SELECT *, min(CASE WHEN NOT walked AND size > gap AND size < 2 * gap THEN (size, u, pos) END) OVER (PARTITION BY source) AS best FROM t)
 SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN part > 0 AND (first OR coalesce((abs(gap - size), u, size) = best, false)) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (whole + CASE WHEN walked OR coalesce((size, u, pos) = best, false) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM f
 """
 

@@ -31,6 +31,7 @@ DATE = "2000-01-01T00:00:00Z"
 FRAME_BYTES = 1 << 20
 DEDUP_BYTES = 1000
 ROWS = 2_000
+FRAMES_A_TASK = 16  # of about FRAME_BYTES each
 INDEX = "record_id string, page_id long, name string, frame long, offset long, length long"
 
 
@@ -158,13 +159,18 @@ def read_record(folder: str, name: str, frame: int, offset: int) -> tuple[dict[s
     return head, block
 
 
+def _dealt(frames: DataFrame) -> DataFrame:
+    """Frames spread over as many tasks as they need at ``FRAMES_A_TASK``; neighbours in a bundle stay together, so each is opened in few tasks."""
+    return frames.repartitionByRange(max(1, -(-frames.count() // FRAMES_A_TASK)), "name", "frame")
+
+
 def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
     """Per record, from the bundles: page_id, payload_bytes, payload_digest, record_type and refers_to.
 
     A response's size and digest are computed from its payload and must agree with its head; a revisit's stand in its head.
     """
     index = spark.read.schema(INDEX).parquet(f"{folder}/index")
-    frames = index.select("name", "frame").distinct()
+    frames = _dealt(index.select("name", "frame").distinct())
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

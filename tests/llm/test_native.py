@@ -52,6 +52,47 @@ def test_mixing_edges(make):
     assert mixing.repeated(mixing.mix(make([(1, "a b"), (2, "c d")]), [1], 2.0)).count() == 4
 
 
+def walk(rows, room):
+    """Brute force: sizes taken from ``rows`` (order, size) if whoever still fits is taken, and the smallest of the others if that comes nearer."""
+    taken, passed = [], []
+    for _, size in sorted(rows):
+        fits = size <= room
+        (taken if fits else passed).append(size)
+        room -= size if fits else 0
+    return taken + [min(passed)] if passed and min(passed) < 2 * room else taken
+
+
+@pytest.mark.parametrize("seed", range(1, 4))
+def test_mixing_comes_near_beside_a_very_long_text(make, seed):
+    rows = [(i, " ".join([f"w{i}"] * 100)) for i in range(1000)] + [(5000, "long " * 100_000)]
+    taken = sum(r["size"] * r["copies"] for r in mixing.mix(make(rows), [1], 1.5, 2.0, seed).collect())
+    assert abs(taken - 300_000) <= 100
+
+
+def test_mixing_splits_repeated_rows_and_null_ids(make):
+    one = [(7, "a b c d e f g h i j")] * 1000
+    out = mixing.mix(make(one), [1], 1.5).collect()
+    assert sum(r["size"] * r["copies"] for r in out) == 15_000 and {r["copies"] for r in out} == {1, 2}
+    none = [(None, " ".join(["x"] * (1 + i % 9))) for i in range(900)] + [(None, None), (None, "")]
+    out = mixing.mix(make(none), [1], 1.3).collect()
+    assert sum(r["size"] * r["copies"] for r in out) == 5850 and len(out) == 902
+
+
+def test_mixing_walks_like_brute_force(spark, make, words):
+    rows = [(i % 300, " ".join(words(i % 310, 1 + (i * i) % 97 + (3000 if i % 50 == 0 else 0))), ["a", None, "c"][i % 3]) for i in range(600)] + [(5, "same text", "a")] * 40
+    out = mixing.mix(make(rows), [3, 1, 2], 1.5, 2.0, 11).withColumn("u", mixing._order(11, mixing.F.col("doc_id"), mixing.F.col("text"))).collect()
+    assert len(out) == len(rows)
+    for source in ("a", None, "c"):
+        own = [r for r in out if r["source"] == source]
+        total, target = sum(r["size"] for r in own), own[0]["target"]
+        whole = int(target // total)
+        want = walk([(r["u"], r["size"]) for r in own if r["size"]], int(target - whole * total + 1e-6))
+        assert sorted(r["size"] for r in own if r["copies"] > whole) == sorted(want)
+    again = mixing.mix(make(rows, 7), [3, 1, 2], 1.5, 2.0, 11).collect()
+    key = lambda rs: collections.Counter((r["doc_id"], r["text"], r["source"], r["copies"]) for r in rs)
+    assert key(again) == key(out)
+
+
 def spans_of(text):
     found = []
     for place, rule in enumerate(blob_ledger.BASE + blob_ledger.MORE):
