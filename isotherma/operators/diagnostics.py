@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import units_of
-from .ordered import average_ranks, exact_quantiles, quantile_columns, running_counts
+from .ordered import average_ranks, exact_quantiles, quantile_columns, running_counts, value_edges_of
 
 VIF_INFINITE_R2 = 0.999999
 # Upper bounds and steps of rounded axis limits.
@@ -118,16 +119,32 @@ def feature_inventory(df: DataFrame, columns: Sequence[str], date: str, recipe:
 
 
 def correlation_table(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Pearson and Spearman correlation of each feature with the target, on rows complete for all columns."""
-    rows = df.select(*features, target).dropna()
-    ranked = rows
-    for c in [*features, target]:
-        ranked = average_ranks(ranked, c, f"_r_{c}")
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for f in features:
-        aggs += [F.corr(f, target).alias(f"_p_{f}"), F.corr(f"_r_{f}", f"_r_{target}").alias(f"_s_{f}")]
-    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_p_{f}").alias("pearson"), F.col(f"_s_{f}").alias("spearman")) for f in features])
-    return ranked.agg(*aggs).select("rows", F.explode(entries).alias("_e")).select("_e.*", "rows")
+    """Pearson and Spearman correlation of each feature with the target, on rows complete for all columns.
+
+    The target is ranked once. All features are then ranked together in long form: rows with one value of a feature become its count and
+    the sum of their target ranks, which is all that the rank products need, so nothing is joined back to the rows whatever the number of features.
+    """
+    rows = average_ranks(df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias("_t")).dropna(), "_t", "_rt")
+    pearson = [F.struct(F.lit(f).alias("feature"), F.corr(f, "_t").alias("pearson")) for f in features]
+    whole = rows.agg(F.count(F.lit(1)).alias("rows"), F.var_pop("_rt").alias("_vt"), F.array(*pearson).alias("_p"))
+    whole = whole.select("rows", "_vt", F.explode("_p").alias("_e")).select("_e.*", "rows", "_vt")
+    edges = value_edges_of(rows, features)
+    cut = Bucketizer(inputCols=list(features), outputCols=[f"_seg_{f}" for f in features],
+                     splitsArray=[[float("-inf"), *(edges[f] or [0.0]), float("inf")] for f in features])
+    entries = [F.struct(F.lit(f).alias("feature"), F.col(f"_seg_{f}").alias("_seg"), F.col(f).alias("value")) for f in features]
+    long = cut.transform(rows).select("_rt", F.explode(F.array(*entries)).alias("_e")).select("_e.*", "_rt")
+    values = long.groupBy("feature", "_seg", "value").agg(F.count(F.lit(1)).alias("_n"), F.sum("_rt").alias("_srt"))
+    segments = values.groupBy("feature", "_seg").agg(F.sum("_n").alias("_all"))
+    below = Window.partitionBy("feature").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    of = Window.partitionBy("feature")
+    segments = segments.select("feature", "_seg", F.coalesce(F.sum("_all").over(below), F.lit(0)).alias("_below"), F.sum("_all").over(of).alias("_total"))
+    inside = Window.partitionBy("feature", "_seg").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(segments, ["feature", "_seg"])
+    middle = (F.col("_total") + 1) / 2.0  # ranks are taken from their mean, so that large tables lose no digits
+    off = F.col("_below") + F.col("_in") + (F.col("_n") + 1) / 2.0 - middle
+    sums = ranked.groupBy("feature").agg(F.sum(off * (F.col("_srt") - F.col("_n") * middle)).alias("_xy"), F.sum(F.col("_n") * off * off).alias("_xx"))
+    spearman = F.col("_xy") / F.nullif(F.sqrt(F.col("_xx") * F.col("_vt") * F.col("rows")), F.lit(0.0))
+    return whole.join(sums, "feature").select("feature", "pearson", spearman.alias("spearman"), "rows")
 
 
 def feature_corr_matrix(df: DataFrame, features: Sequence[str], cutoff: float = 0.0) -> DataFrame:

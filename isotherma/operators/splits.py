@@ -68,18 +68,47 @@ def inner_folds(df: DataFrame, date: str, k: int) -> DataFrame:
     return _roles(df, date, inner_bounds(days, k))
 
 
+def lightest_runs(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """Where groups go if each, largest first, goes to the lightest of ``k`` folds (the first of equally light ones).
+
+    ``sizes`` are (rows of a group, number of such groups), largest first. Groups of one size are dealt in closed form: with ``rows`` as the
+    step, a fold is a level and a remainder; the lowest levels fill up in order of remainder, and from level to level more folds join in.
+    Returns per size its runs: the first place (0-based among all groups) and the folds that take turns from there on.
+    """
+    loads, place, out = [0] * k, 0, []
+    for rows, n in sizes:
+        level = [load // rows for load in loads]
+        steps = sorted(set(level))
+        runs, end = [], place + n
+        for low, high in zip(steps, [*steps[1:], None]):
+            turns = sorted((i for i in range(k) if level[i] <= low), key=lambda i: (loads[i] % rows, i))
+            take = end - place if high is None else min(end - place, len(turns) * (high - low))
+            runs.append((place, turns))
+            for at, i in enumerate(turns):
+                loads[i] += rows * (take // len(turns) + (at < take % len(turns)))
+            place += take
+            if place == end:
+                break
+        out.append((rows, runs))
+    return out
+
+
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """A fold per group, balanced by rows: ``(group, rows, fold)``.
 
-    All groups, in order of their rows (most first, ties by key), are dealt back and forth over the folds. Two folds then differ by no more
-    rows than the largest group has. A group with a NULL key comes last among equals.
+    Every group, the one with most rows first (ties by key, a NULL key last), goes to the fold with the fewest rows so far. The driver sees how many
+    groups have how many rows, at most the root of twice the rows of ``df``; groups are numbered and placed where they lie.
     """
     counts = numbered(df.groupBy(group).agg(F.count(F.lit(1)).alias("rows")), [F.desc("rows"), F.col(group).asc_nulls_last()], "_turn")
-    k = min(k, counts.count())
+    sizes = [(r["rows"], r["n"]) for r in counts.groupBy("rows").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("rows")).collect()]
+    k = min(k, sum(n for _, n in sizes))
     if k < 2:
         raise ValueError("at least two groups are needed")
-    lap, pos = F.floor(F.col("_turn") / k), F.col("_turn") % k
-    return counts.withColumn("fold", F.when(lap % 2 == 0, pos).otherwise(k - 1 - pos).cast("int") + 1).drop("_turn")
+    runs = df.sparkSession.createDataFrame(lightest_runs(sizes, k), "rows long, _runs array<struct<start: long, folds: array<int>>>")
+    run = F.element_at(F.filter("_runs", lambda r: r["start"] <= F.col("_turn")), -1)
+    placed = counts.join(runs, "rows").withColumn("_run", run)
+    turn = F.pmod(F.col("_turn") - F.col("_run.start"), F.size("_run.folds")).cast("int")
+    return placed.select(group, "rows", (F.element_at("_run.folds", turn + 1) + 1).alias("fold"))
 
 
 def group_roles(df: DataFrame, group: str, k: int = 5) -> DataFrame:

@@ -301,6 +301,13 @@ def _(v):
     return diag.vif(v.casts, ["ssh_m", "mlt_m", "sst_c"], intercept=True)
 
 
+@query("g27_vif_uncentred", """WITH m AS (SELECT sum(ssh_m*ssh_m) AS aa, sum(mlt_m*mlt_m) AS bb, sum(sst_c*sst_c) AS cc, sum(ssh_m*mlt_m) AS ab, sum(ssh_m*sst_c) AS ac, sum(mlt_m*sst_c) AS bc
+    FROM fx_casts WHERE ssh_m IS NOT NULL AND mlt_m IS NOT NULL AND sst_c IS NOT NULL), d AS (SELECT *, aa*(bb*cc - bc*bc) - ab*(ab*cc - bc*ac) + ac*(ab*bc - bb*ac) AS det FROM m)
+  SELECT 'ssh_m' AS feature, aa*(bb*cc - bc*bc)/det AS vif FROM d UNION ALL SELECT 'mlt_m', bb*(aa*cc - ac*ac)/det FROM d UNION ALL SELECT 'sst_c', cc*(aa*bb - ab*ab)/det FROM d""", "vif")
+def _(v):
+    return diag.vif(v.casts, ["ssh_m", "mlt_m", "sst_c"])
+
+
 PRODUCT = """SELECT cast_id - cast_id % 50 % 2 AS cast_id, CASE WHEN cast_id % 20 = 0 THEN 'no profile' END AS error, obs_d26 - CASE WHEN cast_id % 17 = 0 THEN 90.0 ELSE 0.0 END AS d26_m, mlt_m*4.0 AS max_depth_m,
   obs_tchp - 10.0 AS tchp_kj_per_cm2, (obs_tchp - 10.0)*1e7 AS ohc_j_per_m2, sst_c AS surface_t_c FROM fx_casts"""
 
@@ -438,8 +445,10 @@ def _(v):
     return splits.inner_folds(v.casts, "obs_date", 2).withColumn("obs_date", F.col("obs_date").cast("string"))
 
 
-@query("e03_group_folds", """WITH g AS (SELECT platform, count(*) AS rows FROM fx_casts GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY rows DESC, platform) - 1 AS t FROM g)
-  SELECT platform, rows, CAST(CASE WHEN (t // 5) % 2 = 0 THEN t % 5 ELSE 4 - t % 5 END + 1 AS INT) AS fold FROM o""")
+@query("e03_group_folds", """WITH RECURSIVE o AS MATERIALIZED (SELECT platform, rows, row_number() OVER (ORDER BY rows DESC, platform) AS t FROM (SELECT platform, count(*) AS rows FROM fx_casts GROUP BY 1) g),
+  st AS (SELECT 0::BIGINT AS t, [0, 0, 0, 0, 0]::BIGINT[] AS loads, 0 AS fold UNION ALL
+    SELECT t, list_transform(loads, lambda x, i: CASE WHEN i = p THEN x + rows ELSE x END), p FROM (SELECT o.t, o.rows, st.loads, list_position(st.loads, list_min(st.loads))::INT AS p FROM st JOIN o ON o.t = st.t + 1) n)
+  SELECT platform, rows, fold FROM o JOIN st USING (t)""")
 def _(v):
     return splits.group_folds(v.casts, "platform")
 

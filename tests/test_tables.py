@@ -162,3 +162,37 @@ def test_bootstrap_and_windows_of_the_reference_are_registered():
     wide = CATALOG["j12_neighbourhood_wide"]
     assert {f"{f}_{s}_{n}" for f in ("tchp", "d26", "sst_c") for s in ("mean", "std") for n in ("05deg", "1deg", "2deg")} < set(wide.numbers)
     assert all(f"range(-{h}, {h + 1})" in wide.sql for h in (6, 12, 25))
+
+
+def test_groups_go_to_the_lightest_fold():
+    import collections
+    import random
+
+    from isotherma.operators.splits import lightest_runs
+
+    rng = random.Random(3)
+    for k in (2, 3, 5, 8):
+        for _ in range(60):
+            groups = sorted((rng.choice([1, 1, 2, 3, 7, 40, 41, 500]) for _ in range(rng.randint(k, 120))), reverse=True)
+            loads, want = [0] * k, []
+            for rows in groups:
+                fold = loads.index(min(loads))
+                loads[fold] += rows
+                want.append(fold)
+            runs = lightest_runs(sorted(collections.Counter(groups).items(), reverse=True), k)
+            begin = {start: folds for _, own in runs for start, folds in own}
+            got, at = [], 0
+            for i in range(len(groups)):
+                at = i if i in begin else at
+                got.append(begin[at][(i - at) % len(begin[at])])
+            assert got == want
+
+
+def test_one_column_or_many_make_the_same_exchanges(views):
+    """The plan does not grow with the features."""
+    from isotherma.operators.diagnostics import correlation_table
+
+    def exchanges(features):
+        return correlation_table(views.casts, features, "obs_tchp")._jdf.queryExecution().sparkPlan().toString().count("Join")
+
+    assert exchanges(["ssh_m"]) == exchanges(["ssh_m", "mlt_m", "sst_c", "model_tchp"])
