@@ -325,3 +325,15 @@ def test_warc_round_trip(spark):
     none = folder(spark)
     warc_bundles.write_bundles(df.limit(0), none)
     assert warc_bundles.read_bundles(spark, none).count() == 0
+
+
+def test_frames_are_read_in_as_many_tasks_as_they_need(spark):
+    """Payloads larger than a frame, and more frames than one task takes."""
+    rng = random.Random(8)
+    rows = [(i, f"http://x/{i}", "".join(rng.choices("abcdefgh", k=2_000_000 if i == 3 else 400_000))) for i in range(60)]
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    warc_bundles.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), folder)
+    read = warc_bundles.read_bundles(spark, folder)
+    assert read.rdd.getNumPartitions() > 1
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in read.collect()}
+    assert got == {i: (len(html), hashlib.sha1(html.encode()).hexdigest()) for i, _, html in rows}
