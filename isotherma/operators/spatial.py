@@ -315,19 +315,33 @@ def radius_pairs(cells: DataFrame, points: DataFrame, radius_km: float, *, cell_
     return pairs.withColumn("distance_km", km).where(F.col("distance_km") <= radius_km).drop(*ids, "salt")
 
 
+def gaussian_fields(obs: DataFrame, cells: DataFrame, values: Sequence[str], *, cell_cols: Sequence[str], by: Sequence[str] = (),
+                    length_km: float = 100.0, radius_km: float = 300.0) -> DataFrame:
+    """Gaussian-weighted means of several fields around each cell, apart for each group of ``by``, from one pass over the pairs.
+
+    Observations at one position share a weight, so they are summed before the join. A row per cell and group that has an observation within the
+    radius: ``<value>``, ``<value>_n`` and ``<value>_km``, the distance of the nearest; NULL, 0 and NULL for a field without any.
+    """
+    by = list(by)
+    sums = [c for v in values for c in (F.sum(v).alias(f"_v_{v}"), F.count(v).alias(f"_n_{v}"))]
+    known = F.coalesce(*[F.col(v).cast("double") for v in values]).isNotNull()
+    points = obs.where(known).groupBy("lat", "lon", *by).agg(*sums)
+    pairs = radius_pairs(cells, points, radius_km, cell_cols=cell_cols, point_cols=[*by, *[c for v in values for c in (f"_v_{v}", f"_n_{v}")]])
+    w = F.exp(-F.pow(F.col("distance_km") / length_km, 2))
+    fields = [c for v in values for c in (
+        F.try_divide(F.sum(w * F.col(f"_v_{v}")), F.sum(w * F.col(f"_n_{v}"))).alias(v), F.sum(f"_n_{v}").alias(f"{v}_n"),
+        F.min(F.when(F.col(f"_n_{v}") > 0, F.col("distance_km"))).alias(f"{v}_km"))]
+    return pairs.groupBy(*cell_cols, *by).agg(*fields)
+
+
 def gaussian_grid(obs: DataFrame, cells: DataFrame, value: str, *, cell_cols: Sequence[str], length_km: float = 100.0,
                   radius_km: float = 300.0, mask_km: float | None = None) -> DataFrame:
     """Gaussian-weighted mean of the observations around each cell.
 
-    Observations at one position share a weight, so they are summed before the join. NULL where no observation lies
-    within the radius, or the nearest is beyond the mask.
+    NULL where no observation lies within the radius, or the nearest is beyond the mask.
     """
-    points = obs.where(F.col(value).isNotNull()).groupBy("lat", "lon").agg(
-        F.sum(value).alias("_v"), F.count(F.lit(1)).alias("_n"))
-    pairs = radius_pairs(cells, points, radius_km, cell_cols=cell_cols, point_cols=["_v", "_n"])
-    w = F.exp(-F.pow(F.col("distance_km") / length_km, 2))
-    out = pairs.groupBy(*cell_cols).agg(F.try_divide(F.sum(w * F.col("_v")), F.sum(w * F.col("_n"))).alias(value),
-                                        F.sum("_n").alias("n_obs"), F.min("distance_km").alias("nearest_km"))
+    out = gaussian_fields(obs, cells, [value], cell_cols=cell_cols, length_km=length_km, radius_km=radius_km).withColumnsRenamed(
+        {f"{value}_n": "n_obs", f"{value}_km": "nearest_km"})
     if mask_km is not None:
         out = out.withColumn(value, F.when(F.col("nearest_km") <= mask_km, F.col(value)))
     full = cells.select(*cell_cols).join(out, list(cell_cols), "left")

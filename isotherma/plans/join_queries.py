@@ -233,15 +233,20 @@ def _(v):
     return spatial.distance_mask(cells, v.obs, "value", 100.0, cell_cols=["y", "x"]).select("y", "x", "value")
 
 
-@query("j19_surface_difference", f"""WITH d AS (SELECT a.obs_tchp - b.model_tchp AS difference FROM {gaussian_sql('obs_tchp', 150.0, 450.0, 'fx_casts')} a
-    JOIN {gaussian_sql('model_tchp', 150.0, 450.0, 'fx_casts')} b USING (y, x))
-  SELECT count(difference) AS cells, avg(difference) AS mean, stddev_samp(difference) AS std, avg(abs(difference)) AS mae, sqrt(avg(difference*difference)) AS rmse,
-    min(difference) AS min, max(difference) AS max, quantile_cont(difference, 0.5) AS median FROM d""", "mean std mae rmse min max median")
+SEASONAL = """(SELECT g.y, g.x, season, sum(exp(-pow(km/150.0, 2))*{v})/sum(exp(-pow(km/150.0, 2))) AS {v} FROM (SELECT g.y, g.x, {season} AS season, {km} AS km, o.{v}
+    FROM fx_geometry g JOIN fx_casts o ON abs(o.lat - g.lat) <= 450.0/111.0 AND o.{v} IS NOT NULL) g WHERE km <= 450.0 GROUP BY ALL)"""
+seasonal = lambda v: SEASONAL.format(v=v, season=SEASON, km=hav("g.lon", "g.lat", "o.lon", "o.lat"))
+SURFACE_STATS = """count(difference) AS cells, avg(difference) AS mean, stddev_samp(difference) AS std, avg(abs(difference)) AS mae, sqrt(avg(difference*difference)) AS rmse,
+    min(difference) AS min, max(difference) AS max, quantile_cont(difference, 0.5) AS median"""
+
+
+@query("j19_surface_difference", f"""SELECT season, {SURFACE_STATS} FROM (SELECT season, a.obs_tchp - b.model_tchp AS difference FROM {seasonal('obs_tchp')} a JOIN {seasonal('model_tchp')} b USING (y, x, season))
+  GROUP BY season""", "mean std mae rmse min max median")
 def _(v):
-    cells = v.geometry.select("y", "x", "lat", "lon")
-    a = spatial.gaussian_grid(v.casts, cells, "obs_tchp", cell_cols=["y", "x"], length_km=150.0, radius_km=450.0)
-    b = spatial.gaussian_grid(v.casts, cells, "model_tchp", cell_cols=["y", "x"], length_km=150.0, radius_km=450.0)
-    return grids.surface_statistics(grids.surface_difference(a, b, ["y", "x"], "obs_tchp", "model_tchp"))
+    """Both surfaces of all seasons from one pass."""
+    casts = v.casts.withColumn("season", fn.season_label("month"))
+    both = spatial.gaussian_fields(casts, v.geometry, ["obs_tchp", "model_tchp"], cell_cols=["y", "x"], by=["season"], length_km=150.0, radius_km=450.0)
+    return grids.surface_statistics(grids.surface_change(both, "obs_tchp", "model_tchp"), ["season"])
 
 
 @query("j20_attach_features", """SELECT c.cast_id, c.obs_tchp, f.n_casts FROM fx_casts c LEFT JOIN (SELECT platform, count(*) AS n_casts FROM fx_casts WHERE year < 2000 GROUP BY platform) f

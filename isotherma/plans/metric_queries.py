@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import diagnostics as diag
-from ..operators import grids, metrics, splits
+from ..operators import grids, metrics, models, recipes, ridge, splits
 from .join_queries import SUPPORT_SQL, support
 from .registry import CATALOG, hav, query
 from .scalar_queries import BOXES, EXPERT, LAT0, LON0, PATCH, REGION5, SEASON
@@ -159,14 +159,16 @@ def _(v):
     return metrics.conditional_skill(v.casts, *THREE)
 
 
-def signed_skill(v):
-    """Skill shifted so that its sign changes between bins of the test data."""
-    return metrics.conditional_skill(v.casts, *THREE).withColumn("mae_improvement", F.col("bin_center") * -1.0 + 80.0)
+SHIFTED = "(SELECT o AS x, p + avg(o - p) OVER () AS p, p AS c FROM " + PAIRS + " t)"
 
 
-@query("g15_skill_crossover", f"WITH {SKILL}, s AS (SELECT *, 80.0 - bin_center AS i FROM skill), w AS (SELECT *, lag(i) OVER (ORDER BY bin) AS i0 FROM s) SELECT max(bin_lo) AS crossover FROM w WHERE i < 0 AND i0 >= 0", "crossover")
+# The raw model against the model moved by its mean error: the move helps where much is observed and harms where little is.
+@query("g15_skill_crossover", f"""WITH r AS (FROM {SHIFTED}), {SKILL.split("r AS", 1)[1].split(" t), ", 1)[1]}, w AS (SELECT *, lag(mae_improvement) OVER (ORDER BY bin) AS i0 FROM skill)
+  SELECT max(bin_lo) AS crossover FROM w WHERE mae_improvement < 0 AND i0 >= 0""", "crossover")
 def _(v):
-    return metrics.skill_crossover(signed_skill(v))
+    rows = paired(v)
+    moved = models.mean_delta(rows, rows, "obs_tchp", "model_tchp", "moved")
+    return metrics.skill_crossover(metrics.conditional_skill(moved, "obs_tchp", "moved", "model_tchp"))
 
 
 @query("g41_worst_bin", f"WITH {SKILL} SELECT bin, bin_lo, bin_hi, mae_improvement FROM skill ORDER BY mae_improvement, bin LIMIT 1", "bin_lo bin_hi mae_improvement")

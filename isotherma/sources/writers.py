@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+KEY_BUCKETS = 64
+
 
 def write_product(df: DataFrame, path: str, csv: bool = False) -> None:
     """One table partitioned by year; a year is a folder of it. CSV copies on request."""
@@ -13,21 +17,34 @@ def write_product(df: DataFrame, path: str, csv: bool = False) -> None:
         df.write.mode("overwrite").partitionBy("year").option("header", True).csv(f"{path}/csv")
 
 
-def append_new(df: DataFrame, target: str, key: str) -> None:
+def key_bucket(key: str, buckets: int = KEY_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def append_new(df: DataFrame, target: str, key: str, buckets: int = KEY_BUCKETS) -> None:
     """Append the rows whose key is not written yet; failures are rows with an ``error`` text.
 
-    The batch is first reduced to one row per key, a success before a failure, so a repeated run adds nothing.
+    The batch is first reduced to one row per key, a success before a failure, so a repeated run adds nothing. The target has a folder per
+    hash bucket of the key (column ``key_bucket``), so a batch reads the keys of its own buckets only; the rows are the index, there is
+    no second table to keep in step. NULL keys count as new each time.
     """
     spark = df.sparkSession
+    rows = df.withColumn("key_bucket", key_bucket(key, buckets))
     if "error" in df.columns:
-        first = Window.partitionBy(key).orderBy(F.col("error").asc_nulls_first())
-        fresh = df.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+        first = Window.partitionBy("key_bucket", key).orderBy(F.col("error").asc_nulls_first())
+        fresh = rows.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
     else:
-        fresh = df.dropDuplicates([key])
+        fresh = rows.dropDuplicates(["key_bucket", key])
     folder = spark._jvm.org.apache.hadoop.fs.Path(target)
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        fresh = fresh.join(spark.read.parquet(target).select(key), key, "left_anti")
-    fresh.write.mode("append").parquet(target)
+        touched = [r[0] for r in rows.select("key_bucket").distinct().collect()]  # at most as many as there are buckets
+        fresh = fresh.join(known_keys(spark, target, key, touched), ["key_bucket", key], "left_anti").select(*rows.columns)
+    fresh.repartition("key_bucket").write.mode("append").partitionBy("key_bucket").parquet(target)
+
+
+def known_keys(spark: SparkSession, target: str, key: str, touched: Sequence[int]) -> DataFrame:
+    """Keys that ``append_new`` has written to some buckets; only their folders are read."""
+    return spark.read.parquet(target).where(F.col("key_bucket").isin(*touched)).select("key_bucket", key)
 
 
 TILE_DEGREES = 10

@@ -12,8 +12,8 @@ from ..sources.writers import append_new
 def append_stream(spark: SparkSession, source: str, schema: StructType, key: str, target: str, state: str) -> StreamingQuery:
     """Run once over the files not seen before and append the rows whose key the target lacks.
 
-    ``state`` remembers the files; the keys are those of the target itself, so the state does not grow with them, and a batch that is
-    repeated after a failure adds nothing.
+    ``state`` remembers the files; the keys are those of the target itself, so the state does not grow with them, a batch reads the keys of
+    its own buckets only, and one that is repeated after a failure adds nothing.
     """
 
     def append(batch: DataFrame, _: int) -> None:
