@@ -105,8 +105,8 @@ def columns_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
     return df.select(*keep, F.explode(entries).alias("_e")).select(*keep, "_e.column_name", "_e.value")
 
 
-def feature_inventory(df: DataFrame, columns: Sequence[str], date: str, recipe: Sequence[str] = ()) -> DataFrame:
-    """Coverage, dates, quantiles and unit of each column."""
+def feature_inventory(df: DataFrame, columns: Sequence[str], date: str, recipe: Sequence[str] = (), families: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Coverage, dates, quantiles, unit and family of each column; the family is the name of the first list of ``families`` that has it."""
     long = columns_long(df, columns, [date])
     valid = F.col("value").isNotNull()
     base = long.groupBy("column_name").agg(
@@ -115,7 +115,8 @@ def feature_inventory(df: DataFrame, columns: Sequence[str], date: str, recipe:
         F.countDistinct(F.when(valid, F.col(date))).alias("valid_dates"))
     q = quantile_columns(long, ["column_name"], "value", {"p5": 0.05, "median": 0.5, "p95": 0.95})
     out = base.join(q, "column_name", "left")
-    return out.select("*", units_of("column_name").alias("units"), F.col("column_name").isin(*recipe or [""]).cast("int").alias("in_recipe"))
+    family = F.coalesce(*[F.when(F.col("column_name").isin(*members), F.lit(name)) for name, members in (families or {}).items()], F.lit(None).cast("string"))
+    return out.select("*", units_of("column_name").alias("units"), family.alias("family"), F.col("column_name").isin(*recipe or [""]).cast("int").alias("in_recipe"))
 
 
 def correlation_table(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import planar_deg2
+from ..functions.numbers import corrected_temperature
 from .filters import in_bbox
 from .ordered import running_counts
 
@@ -95,9 +96,48 @@ def climatology_lookup(obs: DataFrame, clim: DataFrame, values: Sequence[str], *
     return rows.join(clim.select(month, "ilat", "ilon", *values), [month, "ilat", "ilon"], "left")
 
 
-def profile_lookup(casts: DataFrame, levels: DataFrame, key: Sequence[str] = ("cast_id",)) -> DataFrame:
-    """Casts with their levels and the profile corrected by the cast's scalars."""
-    return casts.join(levels, list(key))
+SIDES = ("obs", "model")
+RAW_SOURCE = "raw"
+
+
+def profile_scalars(pairs: DataFrame, observed: DataFrame, model: DataFrame, *, key="cast_id", delta="predicted_delta", source: str = "ml_correction",
+                    z="depth_m", t="temp_c") -> DataFrame:
+    """Scalars of the casts of ``pairs``: heat content, isotherm and surface temperature of both profiles, and the learned correction.
+
+    ``delta`` is the prediction of a correction model, NULL where there is none; then, or without modelled heat content, the source is ``raw`` and the
+    modelled heat content stays as it is. Corrected heat content is not below 0. Casts without a profile on a side have NULL there.
+    """
+    from .profiles import heat_excess_trapezoid
+
+    rows = pairs
+    for side, levels in zip(SIDES, (observed, model)):
+        own = levels.join(pairs.select(key), key, "left_semi")
+        heat = heat_excess_trapezoid(own, [key], z, t).select(key, F.col("tchp_kj_per_cm2").alias(f"{side}_tchp_kj_cm2"), F.col("d26_m").alias(f"{side}_d26_m"),
+                                                              F.col("surface_temp_c").alias(f"{side}_surface_t_c"))
+        rows = rows.join(heat, key, "left")
+    known = F.col(delta).isNotNull() & F.col("model_tchp_kj_cm2").isNotNull()
+    return rows.select(
+        *pairs.drop(delta).columns, *[f"{side}_{c}" for side in SIDES for c in ("tchp_kj_cm2", "d26_m", "surface_t_c")],
+        F.when(known, F.col(delta)).alias("correction_delta_kj_cm2"), F.when(known, source).otherwise(RAW_SOURCE).alias("correction_source"),
+        F.when(known, F.greatest(F.lit(0.0), F.col("model_tchp_kj_cm2") + F.col(delta))).otherwise(F.col("model_tchp_kj_cm2")).alias("corrected_tchp_kj_cm2"),
+        (F.col("obs_tchp_kj_cm2") - F.col("model_tchp_kj_cm2")).alias("delta_tchp_kj_cm2"))
+
+
+def profile_lookup(scalars: DataFrame, observed: DataFrame, model: DataFrame, *, key="cast_id", z="depth_m", t="temp_c", keep: Sequence[str] = ()) -> DataFrame:
+    """The levels of the observed, the modelled and the corrected profile of the casts of ``scalars``: (key, profile, z, t, keep).
+
+    The corrected profile is the modelled one with its part above the isotherm scaled to the corrected heat content, if that is known and the
+    modelled one is above 0. One row per level, so a long profile is no single value. Tables stored by ``writers.write_bucketed`` on
+    the key are joined without a shuffle.
+    """
+    columns = [key, z, t, *keep]
+    raw, corrected = F.col("model_tchp_kj_cm2"), F.col("corrected_tchp_kj_cm2")
+    seen = observed.select(*columns).join(scalars.select(key), key, "left_semi").withColumn("profile", F.lit("observed"))
+    rows = model.select(*columns).join(scalars.select(key, raw, corrected, F.col("correction_source").alias("_source")), key)
+    scaled = F.when((raw > 0) & (F.col("_source") != RAW_SOURCE), corrected_temperature(t, raw, corrected)).otherwise(F.col(t))
+    both = F.explode(F.array(F.struct(F.lit("model").alias("profile"), F.col(t).alias("_t")), F.struct(F.lit("corrected").alias("profile"), scaled.alias("_t"))))
+    rows = rows.withColumn("_p", both).select(key, z, F.col("_p._t").alias(t), *keep, "_p.profile")
+    return seen.select(*rows.columns).unionByName(rows)
 
 
 def pick_cast(pairs: DataFrame, date_col: str, date, lat: float, lon: float, tie: str = "cast_id") -> DataFrame:

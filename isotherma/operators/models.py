@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import confidence
+from ..functions.numbers import finite
 from ..session import cut_lineage
+from .diagnostics import columns_long
 from .metrics import error_metrics
-from .ordered import row_positions
+from .ordered import exact_quantiles, row_positions
 
 LABEL = "_delta"
 PRIOR_WEIGHT = 0.05
@@ -40,9 +42,27 @@ def prepare(features: Sequence[str], scale: bool = True) -> list[Estimator]:
     return stages
 
 
-def ridge_delta(rows: int, alpha: float = 1.0) -> Estimator:
-    """M2: the penalty alpha on summed squares is alpha / rows on their mean."""
-    return LinearRegression(labelCol=LABEL, elasticNetParam=0.0, regParam=alpha / max(rows, 1), standardization=False, solver="normal")
+def prepared(df: DataFrame, training: Column, features: Sequence[str]) -> DataFrame:
+    """M1 with exact medians: ``z_<feature>``, imputed and scaled by the training rows. What comes to the driver is one row of each.
+
+    A feature without spread in the training rows is 0; without any value in them, NULL stays NULL.
+    """
+    rows = df.select("*", *[finite(f).alias(f"_x_{f}") for f in features])
+    train = rows.where(training)
+    long = columns_long(train, [f"_x_{f}" for f in features]).where("value IS NOT NULL")
+    found = exact_quantiles(long, ["column_name"], "value", [0.5]).collect()  # a row per feature
+    medians = {r["column_name"]: r["quantile"] for r in found}
+    filled = {f: F.coalesce(f"_x_{f}", F.lit(medians.get(f"_x_{f}")).cast("double")) for f in features}
+    stats = train.agg(*[c for f, x in filled.items() for c in (F.avg(x).alias(f"m_{f}"), F.stddev_samp(x).alias(f"s_{f}"))]).first()
+    scaled = [(F.when(x.isNotNull(), F.lit(0.0)) if not stats[f"s_{f}"] else (x - stats[f"m_{f}"]) / stats[f"s_{f}"]).alias(f"z_{f}") for f, x in filled.items()]
+    return rows.select(*df.columns, *scaled)
+
+
+def ridge_delta(train: DataFrame, obs: str, base: str, alpha: float = 1.0) -> Estimator:
+    """M2: the penalty alpha on summed squares is alpha / rows on their mean. Spark ML divides it by the label's deviation, so it is given times that."""
+    delta = F.col(obs) - F.col(base)
+    rows, spread = train.agg(F.count(delta), F.stddev_pop(delta)).first()
+    return LinearRegression(labelCol=LABEL, elasticNetParam=0.0, regParam=alpha / max(rows, 1) * (spread or 1.0), standardization=False, solver="normal")
 
 
 def forest_delta(trees: int = 300, min_leaf: int = 2, subset: str = "all", depth: int = 30, seed: int = 42) -> Estimator:
@@ -255,14 +275,31 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFram
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/metadata")
 
 
+def support_list(queries: DataFrame, support: DataFrame, *, query_id="query_id", obs_id="obs_id", time="ts", radius_km: float = 200.0, window_h: float = 72.0,
+                 limit: int = 10, carry: Sequence[str] = ()) -> DataFrame:
+    """The supporting observations of each query, nearest first, then those with the smallest time gap: rank, distance and gap, and what
+    is carried along of the observation."""
+    from .spatial import support_join
+
+    near = support_join(queries.select(query_id, "lat", "lon", time), support, query_cols=[query_id], obs_cols=[obs_id, *carry], time=time,
+                        radius_km=radius_km, window_h=window_h, limit=limit, tie=[obs_id])
+    return near.select(query_id, "rank", obs_id, *carry, F.col("p_lat").alias("obs_lat"), F.col("p_lon").alias("obs_lon"), "distance_km", F.col("gap_h").alias("time_delta_h"))
+
+
+def cell_corrections(grid: DataFrame, model: PipelineModel, features: Sequence[str], base="tchp", out="correction") -> DataFrame:
+    """The learned correction of every cell; NULL where the grid has no value to correct."""
+    return predict_delta(model, grid, features, base, "_best").withColumn(out, F.col("_best") - F.col(base)).drop("_best")
+
+
 def score(queries: DataFrame, grid: DataFrame, support: DataFrame, model: PipelineModel | None, features: Sequence[str], *,
           query_id="query_id", time="ts", date="dt", radius_km: float = 200.0, window_h: float = 72.0, limit: int = 10,
-          metric: str = "planar_deg", enrich: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+          metric: str = "planar_deg", enrich: Callable[[DataFrame], DataFrame] = lambda d: d, source: str = "ml_correction") -> DataFrame:
     """Best heat-content estimate for a table of points and times.
 
-    Nearest valid cell of the day, its value, the learned correction, the supporting observations and a confidence.
+    Nearest valid cell of the day, its value, the learned correction and where it is from, the number of supporting observations (their list is
+    ``support_list``) and a confidence.
     """
-    from .spatial import nearest_cell, support_join
+    from .spatial import nearest_cell
 
     cells = nearest_cell(queries, grid, obs_cols=[query_id, date], metric=metric)
     rows = cells.join(grid.select(date, "y", "x", F.col("tchp").alias("model_tchp"), "sst_c"), [date, "y", "x"])
@@ -271,13 +308,13 @@ def score(queries: DataFrame, grid: DataFrame, support: DataFrame, model: Pipeli
         rows = predict_delta(model, rows, features, "model_tchp", "corrected_tchp")
     else:
         rows = rows.withColumn("corrected_tchp", F.lit(None).cast("double"))
-    near = support_join(queries.select(query_id, "lat", "lon", time), support, query_cols=[query_id], obs_cols=["obs_id"],
-                        time=time, radius_km=radius_km, window_h=window_h, limit=limit, tie=["obs_id"])
+    near = support_list(queries, support, query_id=query_id, time=time, radius_km=radius_km, window_h=window_h, limit=limit)
     counts = near.groupBy(query_id).agg(F.count(F.lit(1)).alias("n_support"), F.min("distance_km").alias("nearest_support_km"))
     out = rows.join(counts, query_id, "left").withColumn("n_support", F.coalesce("n_support", F.lit(0)))
     best = F.coalesce("corrected_tchp", "model_tchp")
     return out.select(query_id, date, "y", "x", F.col("distance_km").alias("grid_distance_km"), "model_tchp", "corrected_tchp",
-                      best.alias("best_tchp"), "n_support", "nearest_support_km",
+                      (F.col("corrected_tchp") - F.col("model_tchp")).alias("correction_delta"),
+                      F.when(F.col("corrected_tchp").isNotNull(), source).otherwise("raw").alias("correction_source"), best.alias("best_tchp"), "n_support", "nearest_support_km",
                       confidence("n_support", F.lit("tchp" in grid.columns)).alias("confidence"))
 
 

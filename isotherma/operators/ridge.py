@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import error_metrics
@@ -173,3 +173,29 @@ def elimination(df: DataFrame, folds: Sequence[int], features: Sequence[str], *,
         current.remove(worst)
         trail.append((len(trail), worst, len(current), tried[worst]))
     return df.sparkSession.createDataFrame(trail, "step int, removed string, n_features int, mae double")
+
+
+def held_out(df: DataFrame, sides: dict[str, tuple[Column, Column]], features: Sequence[str], *, obs: str, base: str, keep: Sequence[str] = (), alpha: float = 1.0) -> DataFrame:
+    """(keep, obs, base, split, pred) of the rows that each split holds out, by a model of its training rows.
+
+    ``sides`` has the conditions for training and held-out rows of each split. All splits share two passes. A split with an empty side is an error.
+    """
+    rows = df.where(F.col(obs).isNotNull() & F.col(base).isNotNull()).withColumn("_delta", F.col(obs) - F.col(base))
+    rows = rows.withColumns({f"_{k}_{i}": F.coalesce(c, F.lit(False)) for i, pair in enumerate(sides.values()) for k, c in zip(("train", "val"), pair)})
+    train, val = ([f"_{k}_{i}" for i in range(len(sides))] for k in ("train", "val"))
+    sizes = rows.agg(*[F.count_if(c).alias(c) for c in (*train, *val)]).first().asDict()
+    empty = [name for i, name in enumerate(sides) if not sizes[train[i]] or not sizes[val[i]]]
+    if empty:
+        raise ValueError(f"splits with an empty side: {empty}")
+    found = predictions(rows, moments(rows, features, "_delta", train), {"": features}, val, base, keep=list(dict.fromkeys([*keep, obs, base])), alpha=alpha)
+    names = F.array(*[F.lit(n) for n in sides])
+    return found.withColumn("split", F.get(names, F.col("fold"))).drop("fold", "feature_set")
+
+
+def leave_one_event_out(df: DataFrame, event: str, features: Sequence[str], *, obs: str, base: str, alpha: float = 1.0) -> DataFrame:
+    """For each event the errors of the raw value and of a model that was fitted without it. Rows without an event only train."""
+    names = sorted(r[0] for r in df.where(F.col(event).isNotNull()).select(event).distinct().collect())  # named storms: a short list
+    sides = {n: (~F.col(event).eqNullSafe(F.lit(n)), F.col(event).eqNullSafe(F.lit(n))) for n in names}
+    out = held_out(df, sides, features, obs=obs, base=base, alpha=alpha)
+    mae = lambda c: F.avg(F.abs(F.col(c) - F.col(obs)))
+    return out.groupBy(F.col("split").alias("held_out")).agg(F.count(F.lit(1)).alias("rows"), mae(base).alias("raw_mae"), mae("pred").alias("mae"), F.avg(F.col("pred") - F.col(obs)).alias("bias"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import grids, joins, metrics, profiles, spatial
+from ..session import shared_folder
+from ..sources import writers
 from .profile_queries import CONSTANT
 from .registry import hav, query
 from .scalar_queries import REGION5, SEASON
@@ -182,10 +186,36 @@ def _(v):
     return grids.gradient_per_100km(v.grid, "sst_c", nx=F.col("nx"), ny=F.col("ny")).selectExpr(DAY, "y", "x", "grad_per_100km")
 
 
-@query("j14_profile_lookup", """SELECT c.cast_id, l.k, c.obs_tchp, l.temp_c FROM fx_casts c JOIN fx_levels l USING (cast_id) WHERE c.obs_tchp IS NOT NULL""", "obs_tchp temp_c")
+MODEL_LEVELS = "fx_model AS (SELECT cast_id, k, depth_m, temp_c + (k % 5 - 2)*0.3 AS temp_c FROM fx_levels)"
+PROFILE_SQL = f"""WITH {MODEL_LEVELS}, o AS (WITH {CONSTANT} SELECT * FROM heat), m AS (WITH {CONSTANT.replace('fx_levels', 'fx_model')} SELECT * FROM heat),
+  p AS (SELECT cast_id, CAST(platform AS BIGINT) AS platform, corrected_tchp - model_tchp AS delta FROM fx_casts WHERE obs_tchp IS NOT NULL),
+  s AS (SELECT p.cast_id, p.platform, o.tchp_kj_per_cm2 AS obs_tchp_kj_cm2, o.d26_m AS obs_d26_m, o.surface_temp_c AS obs_surface_t_c, m.tchp_kj_per_cm2 AS model_tchp_kj_cm2, m.d26_m AS model_d26_m,
+    m.surface_temp_c AS model_surface_t_c, CASE WHEN m.tchp_kj_per_cm2 IS NOT NULL THEN delta END AS correction_delta_kj_cm2, CASE WHEN delta IS NULL OR m.tchp_kj_per_cm2 IS NULL THEN 'raw' ELSE 'ml_correction' END AS correction_source,
+    CASE WHEN delta IS NULL THEN m.tchp_kj_per_cm2 WHEN m.tchp_kj_per_cm2 IS NOT NULL THEN greatest(0.0, m.tchp_kj_per_cm2 + delta) END AS corrected_tchp_kj_cm2,
+    o.tchp_kj_per_cm2 - m.tchp_kj_per_cm2 AS delta_tchp_kj_cm2 FROM p LEFT JOIN o USING (cast_id) LEFT JOIN m USING (cast_id))"""
+
+
+def profile_store(v):
+    """Observed and modelled levels and the scalars of all casts with an observation, bucketed by cast."""
+    name = uuid.uuid4().hex
+    keep = lambda df, what: writers.write_bucketed(df, f"{what}_{name}", f"{shared_folder(v.spark)}/{what}-{name}", "cast_id")
+    observed = keep(v.levels.select("cast_id", "k", "depth_m", "temp_c"), "observed")
+    model = keep(observed.withColumn("temp_c", F.col("temp_c") + (F.col("k") % 5 - 2) * 0.3), "modelled")
+    pairs = v.casts.where("obs_tchp IS NOT NULL").select("cast_id", F.col("platform").cast("long").alias("platform"), (F.col("corrected_tchp") - F.col("model_tchp")).alias("predicted_delta"))
+    return keep(joins.profile_scalars(pairs, observed, model), "scalars"), observed, model
+
+
+@query("j14_profile_scalars", f"{PROFILE_SQL} SELECT * FROM s", "obs_tchp_kj_cm2 obs_d26_m obs_surface_t_c model_tchp_kj_cm2 model_d26_m model_surface_t_c correction_delta_kj_cm2 corrected_tchp_kj_cm2 delta_tchp_kj_cm2")
+def _(v):
+    return profile_store(v)[0]
+
+
+@query("j14_profile_lookup", f"""{PROFILE_SQL} SELECT s.cast_id, l.k, l.depth_m, 'observed' AS profile, l.temp_c FROM s JOIN fx_levels l USING (cast_id) UNION ALL
+  SELECT s.cast_id, l.k, l.depth_m, 'model', l.temp_c FROM s JOIN fx_model l USING (cast_id) UNION ALL
+  SELECT s.cast_id, l.k, l.depth_m, 'corrected', CASE WHEN correction_source <> 'raw' AND model_tchp_kj_cm2 > 0 AND l.temp_c >= 26 THEN 26 + (l.temp_c - 26)*corrected_tchp_kj_cm2/model_tchp_kj_cm2 ELSE l.temp_c END
+  FROM s JOIN fx_model l USING (cast_id)""", "depth_m temp_c")
 def _(v):
-    casts = v.casts.where("obs_tchp IS NOT NULL").select("cast_id", "obs_tchp")
-    return joins.profile_lookup(casts, v.levels.select("cast_id", "k", "temp_c"))
+    return joins.profile_lookup(*profile_store(v), keep=["k"])
 
 
 @query("j15_pick_cast", """SELECT cast_id, 'nearest' AS rule FROM (SELECT cast_id FROM fx_casts WHERE dt = DATE '2024-01-15'

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import diagnostics as diag
-from ..operators import grids, metrics, models, recipes, ridge, splits
+from ..operators import grids, metrics, models, ridge, splits
 from .join_queries import SUPPORT_SQL, support
-from .registry import CATALOG, hav, query
+from .registry import CATALOG, hav, query, ridge_sql
 from .scalar_queries import BOXES, EXPERT, LAT0, LON0, PATCH, REGION5, SEASON
 
 PAIRS = "(SELECT *, obs_tchp AS o, model_tchp AS p, corrected_tchp AS c FROM fx_casts WHERE obs_tchp IS NOT NULL AND model_tchp IS NOT NULL)"
@@ -273,10 +273,11 @@ def _(v):
 
 @query("g24_feature_inventory", " UNION ALL ".join(f"""SELECT '{c}' AS column_name, count({c}) AS valid_rows, 100.0*count({c})/count(*) AS valid_pct, strftime(min(obs_date) FILTER (WHERE {c} IS NOT NULL), '%Y-%m-%d') AS first_date,
   strftime(max(obs_date) FILTER (WHERE {c} IS NOT NULL), '%Y-%m-%d') AS last_date, count(DISTINCT obs_date) FILTER (WHERE {c} IS NOT NULL) AS valid_dates, quantile_cont({c}, 0.05) AS p5,
-  quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.95) AS p95, '{u}' AS units, {r} AS in_recipe FROM fx_casts""" for c, u, r in
+  quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.95) AS p95, '{u}' AS units, '{"base" if r else "targets_and_raw_model"}' AS family, {r} AS in_recipe FROM fx_casts""" for c, u, r in
                                                    (("obs_tchp", "–", 0), ("model_d26", "–", 0), ("ssh_m", "m", 1), ("mlt_m", "m", 1), ("sst_c", "–", 1))), "valid_pct p5 median p95")
 def _(v):
-    return diag.feature_inventory(v.casts, ["obs_tchp", "model_d26", "ssh_m", "mlt_m", "sst_c"], "obs_date", ["ssh_m", "mlt_m", "sst_c"])
+    return diag.feature_inventory(v.casts, ["obs_tchp", "model_d26", "ssh_m", "mlt_m", "sst_c"], "obs_date", ["ssh_m", "mlt_m", "sst_c"],
+                                  {"targets_and_raw_model": ["obs_tchp", "model_d26"], "base": ["ssh_m", "mlt_m", "sst_c"]})
 
 
 RANKED = """r AS (SELECT ssh_m AS a, mlt_m AS b, sst_c AS c, obs_tchp AS t FROM fx_casts WHERE obs_tchp IS NOT NULL), k AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1)/2.0 AS ra,
@@ -461,10 +462,27 @@ def _(v):
     return splits.leave_one_event_out(v.casts, "event")
 
 
-@query("e05_year_holdout", f"""SELECT {REGION5} AS region, {METRICS_SQL} FROM {PAIRS} t WHERE year IN (2000, 2001, 2002) GROUP BY 1""", METRIC_NUMBERS)
+# A ridge on two features, as SQL can solve it; fitted on some rows, scored on others.
+@query("e04_event_errors", f"""WITH tr AS (SELECT event, o, p, o - p AS d, mlt_m, ssh_m FROM {PAIRS} t), s AS (SELECT e.event, {ridge_sql("mlt_m", "d", "ssh_m", 1)} FROM tr JOIN (SELECT DISTINCT event FROM tr) e ON tr.event <> e.event GROUP BY e.event)
+  SELECT tr.event AS held_out, count(*) AS rows, avg(abs(p - o)) AS raw_mae, avg(abs(p + my1 + bx1*(mlt_m - mx1) + bz1*(ssh_m - mz1) - o)) AS mae, avg(p + my1 + bx1*(mlt_m - mx1) + bz1*(ssh_m - mz1) - o) AS bias
+  FROM tr JOIN s ON tr.event = s.event GROUP BY tr.event""", "raw_mae mae bias")
 def _(v):
-    _train, test = splits.year_holdout(labelled(v), [1995, 1996, 1997, 1998, 1999], [2000, 2001, 2002])
-    return metrics.error_metrics(test, "obs_tchp", "model_tchp", "obs_date", ["region"])
+    return ridge.leave_one_event_out(v.casts, "event", ["mlt_m", "ssh_m"], obs="obs_tchp", base="model_tchp")
+
+
+HOLDOUT = f"""SELECT t.*, p + my1 + bx1*(mlt_m - mx1) + bz1*(ssh_m - mz1) AS c2 FROM {PAIRS} t, (SELECT {ridge_sql("mlt_m", "o - p", "ssh_m", 1)} FROM {PAIRS} t WHERE year BETWEEN 1995 AND 1997) s WHERE year = 1998"""
+
+
+@query("e05_year_holdout", f"WITH h AS ({HOLDOUT}) " + " UNION ALL ".join(
+    f"SELECT '{model}' AS model, '{kind}' AS subset_kind, {expr} AS subset, {METRICS_SQL} FROM (SELECT * EXCLUDE (p), {c} AS p FROM h) t GROUP BY ALL"
+    for kind, expr in (("all", "'all'"), ("season", SEASON), ("region", REGION5)) for model, c in (("raw", "p"), ("ridge", "c2"))), METRIC_NUMBERS)
+def _(v):
+    """Fitted on three years, held out on the next: all rows, by season and by region."""
+    years = lambda *y: F.col("year").isin(*y)
+    scored = ridge.held_out(labelled(v).withColumn("all", F.lit("all")), {"holdout": (years(1995, 1996, 1997), years(1998))}, ["mlt_m", "ssh_m"], obs="obs_tchp", base="model_tchp",
+                            keep=["obs_date", "season", "region", "all"])
+    long = metrics.predictions_long(scored, ["obs_tchp", "obs_date", "season", "region", "all"], {"raw": "model_tchp", "ridge": "pred"})
+    return metrics.grouped_metrics(long, ["all", "season", "region"], obs="obs_tchp", date="obs_date")
 
 
 @query("w08_date_ordinals", "SELECT strftime(obs_date, '%Y-%m-%d') AS day, row_number() OVER (ORDER BY obs_date) - 1 AS ordinal FROM (SELECT DISTINCT obs_date FROM fx_casts) t")

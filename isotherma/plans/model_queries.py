@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import boosting, experts, filters, metrics, models, recipes, ridge, splits
-from ..session import cut_lineage, stored
+from ..session import cut_lineage, shared_folder, stored
 from ..sources import writers
 from .join_queries import seconds
 from .metric_queries import PAIRS
-from .registry import hav, query
+from .registry import hav, query, ridge_sql
 from .scalar_queries import EXPERT, SEASON
 
 FEATURES = ["lat", "lon", "model_tchp", "model_d26", "ssh_m", "mlt_m", "sst_c"]
@@ -75,9 +77,9 @@ def later_models(v):
 TEST = "year >= 1999"
 
 
-def penalty(train):
+def penalty(base):
     """The penalty follows the rows of each fit."""
-    return models.ridge_delta(train.count())
+    return lambda train: models.ridge_delta(train, OBS, base)
 
 
 def forward(v, df):
@@ -100,13 +102,14 @@ def _(v):
     return models.mean_delta(rows.where("year <= 1998"), rows.where("year >= 1999"), OBS, BASE).select("cast_id", "pred")
 
 
-@query("m01_prepare")
+TRAIN = "year <= 1998"
+
+
+@query("m01_prepare", f"WITH tr AS (SELECT * FROM fx_casts WHERE {TRAIN}), m AS (SELECT " + ", ".join(f"quantile_cont({f}, 0.5) AS q_{f}" for f in FEATURES) + " FROM tr), s AS (SELECT " + ", ".join(
+    f"avg(coalesce({f}, q_{f})) AS m_{f}, stddev_samp(coalesce({f}, q_{f})) AS s_{f}" for f in FEATURES) + " FROM tr, m) SELECT cast_id, " + ", ".join(
+    f"(coalesce({f}, q_{f}) - m_{f})/s_{f} AS z_{f}" for f in FEATURES) + " FROM fx_casts, m, s", " ".join(f"z_{f}" for f in FEATURES))
 def _(v):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-    rows = v.casts.select("cast_id", "year", *[F.col(f).cast("double").alias(f) for f in FEATURES])
-    fitted = Pipeline(stages=models.prepare(FEATURES)).fit(rows.where("year <= 1998"))
-    return fitted.transform(rows).select("cast_id", vector_to_array("features").alias("z")).select("cast_id", *[F.get("z", F.lit(i)).alias(f"z_{f}") for i, f in enumerate(FEATURES)])
+    return models.prepared(v.casts, F.expr(TRAIN), FEATURES).select("cast_id", *[f"z_{f}" for f in FEATURES])
 
 
 # Ridge on one feature has a closed form: slope = cov / (var + alpha / n). Monthly means, as the solver's last digits differ.
@@ -115,7 +118,7 @@ def _(v):
 def _(v):
     rows = table(v)
     train = rows.where("year <= 1998")
-    model = models.fit_delta(train, ["mlt_m"], models.ridge_delta(train.count()), OBS, BASE)
+    model = models.fit_delta(train, ["mlt_m"], models.ridge_delta(train, OBS, BASE), OBS, BASE)
     scored = models.predict_delta(model, rows.where("year >= 1999"), ["mlt_m"], BASE)
     return scored.groupBy("month").agg(F.count(F.lit(1)).alias("rows"), F.avg("pred").alias("pred"))
 
@@ -144,9 +147,18 @@ def _(v):
     return scored.select("cast_id", (F.col(BASE) + F.col("d1")).alias("pred_1"), (F.col(BASE) + F.col("d2")).alias("pred_2"))
 
 
-@query("m05_ensemble_mean", f"SELECT cast_id, (p + c + ssh_m)/3 AS ensemble FROM {PAIRS} t", "ensemble")
+TWO_SETS = {"mlt_ssh": ["mlt_m", "ssh_m"], "sst_model": ["sst_c", "model_tchp"]}
+
+
+@query("m05_ensemble_mean", f"""WITH tr AS (SELECT *, o - p AS d FROM {PAIRS} t WHERE {TRAIN}), s AS (SELECT {ridge_sql("mlt_m", "d", "ssh_m", 1)}, {ridge_sql("sst_c", "d", "p", 2)} FROM tr)
+  SELECT cast_id, p + (my1 + bx1*(mlt_m - mx1) + bz1*(ssh_m - mz1) + my2 + bx2*(sst_c - mx2) + bz2*(p - mz2))/2 AS ensemble FROM {PAIRS} t, s WHERE year >= 1999""", "ensemble")
 def _(v):
-    return models.ensemble_mean(table(v), ["model_tchp", "corrected_tchp", "ssh_m"]).select("cast_id", "ensemble")
+    """The mean of two fitted models."""
+    rows = table(v).withColumn("_delta", F.col(OBS) - F.col(BASE)).withColumns({"_train": F.expr(TRAIN), "_val": F.col("year") >= 1999})
+    m = ridge.moments(rows, FEATURES, "_delta", ["_train"])
+    long = ridge.predictions(rows, m, TWO_SETS, ["_val"], BASE, keep=["cast_id"])
+    wide = long.groupBy("cast_id").agg(*[F.max(F.when(F.col("feature_set") == n, F.col("pred"))).alias(n) for n in TWO_SETS])
+    return models.ensemble_mean(wide, list(TWO_SETS)).select("cast_id", "ensemble")
 
 
 @query("m06_oof_predict")
@@ -212,22 +224,14 @@ def _(v):
     return ridge.elimination(rows, folds, whole, obs=OBS, base=BASE)
 
 
-def line(x, y, w, n):
-    """Slope and intercept, in SQL, of a ridge on two features with penalty 1."""
-    sxx, szz, sxz, sxy, szy = (f"covar_pop({a}, {b})*count(*)" for a, b in ((x, x), (w, w), (x, w), (x, y), (w, y)))
-    det = f"(({sxx} + 1)*({szz} + 1) - {sxz}*{sxz})"
-    return f"(({szz} + 1)*{sxy} - {sxz}*{szy})/{det} AS bx{n}, (({sxx} + 1)*{szy} - {sxz}*{sxy})/{det} AS bz{n}, avg({x}) AS mx{n}, avg({w}) AS mz{n}, avg({y}) AS my{n}"
-
-
 # Two sets of two features each, solved from the same moments.
-@query("m08_two_feature_sets", f"""WITH tr AS (SELECT *, o - p AS d FROM {PAIRS} t WHERE year <= 1997), s AS (SELECT {line("mlt_m", "d", "ssh_m", 1)}, {line("sst_c", "d", "p", 2)} FROM tr),
+@query("m08_two_feature_sets", f"""WITH tr AS (SELECT *, o - p AS d FROM {PAIRS} t WHERE year <= 1997), s AS (SELECT {ridge_sql("mlt_m", "d", "ssh_m", 1)}, {ridge_sql("sst_c", "d", "p", 2)} FROM tr),
   r AS (SELECT 'mlt_ssh' AS feature_set, p + my1 + bx1*(mlt_m - mx1) + bz1*(ssh_m - mz1) - o AS e FROM {PAIRS} t, s WHERE year >= 1998
     UNION ALL SELECT 'sst_model', p + my2 + bx2*(sst_c - mx2) + bz2*(p - mz2) - o FROM {PAIRS} t, s WHERE year >= 1998)
   SELECT feature_set, count(*) AS rows, avg(abs(e)) AS mae, avg(e) AS bias FROM r GROUP BY feature_set""", "mae bias")
 def _(v):
     rows = table(v).withColumn("role_1", F.when(F.col("year") <= 1997, "train").otherwise("validation"))
-    sets = {"mlt_ssh": ["mlt_m", "ssh_m"], "sst_model": ["sst_c", "model_tchp"]}
-    return ridge.ablation(rows, [1], sets, obs=OBS, base=BASE).select("feature_set", "rows", "mae", "bias")
+    return ridge.ablation(rows, [1], TWO_SETS, obs=OBS, base=BASE).select("feature_set", "rows", "mae", "bias")
 
 
 @query("m11_permutation_importance")
@@ -276,7 +280,7 @@ def _(v):
     # From the grid, so that no observation a fold validates on is in it.
     clim = v.grid.groupBy(F.month("dt").alias("month")).agg(F.avg("tchp").alias("clim_tchp"))
     rows = cut_lineage(rows.join(clim, "month"))
-    oof = models.oof_predict(rows, forward(v, rows), "obs_date", [*FEATURES, "clim_tchp"], penalty, obs=OBS, base="clim_tchp")
+    oof = models.oof_predict(rows, forward(v, rows), "obs_date", [*FEATURES, "clim_tchp"], penalty("clim_tchp"), obs=OBS, base="clim_tchp")
     return long_metrics(oof, {"climatology": "clim_tchp", "corrected": "pred"}, ["fold"])
 
 
@@ -295,45 +299,77 @@ def _(v):
     return parts[0].unionByName(parts[1])
 
 
-SCORE_SQL = f"""WITH q AS (SELECT cast_id AS query_id, lat, lon, dt, dt + INTERVAL 12 HOUR AS at FROM fx_casts),
-  n AS (SELECT q.query_id, q.dt, g.y, g.x, g.tchp, {hav('q.lon', 'q.lat', 'g.lon', 'g.lat')} AS km FROM q JOIN fx_grid g ON g.dt = q.dt AND g.sst_c IS NOT NULL
+# The learned correction: a ridge on the surface temperature, which casts and cells both have.
+SST_RIDGE = f"r AS (SELECT avg(sst_c) AS mx, avg(o - p) AS my, covar_pop(sst_c, o - p)/(var_pop(sst_c) + 1.0/count(*)) AS b FROM {PAIRS} t WHERE {TRAIN})"
+
+
+def sst_model(v):
+    train = table(v).where(TRAIN)
+    return models.fit_delta(train, ["sst_c"], models.ridge_delta(train, OBS, BASE), OBS, BASE)
+
+
+def score_points(v):
+    return v.casts.select(F.col("cast_id").alias("query_id"), "lat", "lon", "dt", (F.unix_date("dt") * 86400.0 + 43200.0).alias("ts"))
+
+
+NEAR_SQL = f"""q AS (SELECT cast_id AS query_id, lat, lon, dt, dt + INTERVAL 12 HOUR AS at FROM fx_casts),
+  s AS (SELECT q.query_id, o.obs_id, o.platform, o.obs_value, o.lat AS obs_lat, o.lon AS obs_lon, {hav('q.lon', 'q.lat', 'o.lon', 'o.lat')} AS km, abs(epoch_us(o.obs_time) - epoch_us(q.at))/3.6e9 AS gap FROM q
+    JOIN fx_obs o ON abs(o.lat - q.lat) <= 1.8 AND o.obs_time BETWEEN q.at - INTERVAL 72 HOUR AND q.at + INTERVAL 72 HOUR)"""
+SCORE_SQL = f"""WITH {SST_RIDGE}, {NEAR_SQL},
+  n AS (SELECT q.query_id, q.dt, g.y, g.x, g.tchp, {{delta}} AS delta, {hav('q.lon', 'q.lat', 'g.lon', 'g.lat')} AS km FROM r, q JOIN fx_grid g ON g.dt = q.dt AND g.sst_c IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round((g.lat-q.lat)*(g.lat-q.lat) + (g.lon-q.lon)*(g.lon-q.lon), 9), g.y, g.x) = 1),
-  s AS (SELECT q.query_id, {hav('q.lon', 'q.lat', 'o.lon', 'o.lat')} AS km FROM q JOIN fx_obs o ON abs(o.lat - q.lat) <= 1.8 AND o.obs_time BETWEEN q.at - INTERVAL 72 HOUR AND q.at + INTERVAL 72 HOUR),
   c AS (SELECT query_id, least(count(*), 10) AS k, min(km) AS near FROM s WHERE km <= 200 GROUP BY query_id)
-  SELECT n.query_id, strftime(n.dt, '%Y-%m-%d') AS dt, n.y, n.x, n.km AS grid_distance_km, n.tchp AS model_tchp, n.tchp + 1.5 AS corrected_tchp, n.tchp + 1.5 AS best_tchp, coalesce(c.k, 0) AS n_support,
+  SELECT n.query_id, strftime(n.dt, '%Y-%m-%d') AS dt, n.y, n.x, n.km AS grid_distance_km, n.tchp AS model_tchp, n.tchp + delta AS corrected_tchp, CASE WHEN n.tchp IS NOT NULL THEN delta END AS correction_delta,
+    CASE WHEN n.tchp + delta IS NULL THEN 'raw' ELSE 'ml_correction' END AS correction_source, coalesce(n.tchp + delta, n.tchp) AS best_tchp, coalesce(c.k, 0) AS n_support,
     c.near AS nearest_support_km, CASE WHEN coalesce(c.k, 0) >= 3 THEN 'High' WHEN coalesce(c.k, 0) >= 1 THEN 'Medium' ELSE 'Low' END AS confidence FROM n LEFT JOIN c USING (query_id)"""
+SCORE_NUMBERS = "grid_distance_km model_tchp corrected_tchp correction_delta best_tchp nearest_support_km"
 
 
-@query("m20_score", SCORE_SQL, "grid_distance_km model_tchp corrected_tchp best_tchp nearest_support_km")
+@query("m20_score", SCORE_SQL.format(delta="my + b*(g.sst_c - mx)"), SCORE_NUMBERS, digits=4)
 def _(v):
-    # A model that learned a constant delta of 1.5, so that the whole path has an exact answer.
-    train = table(v).withColumn(OBS, F.col(BASE) + 1.5)
-    model = models.fit_delta(train, ["sst_c"], models.ridge_delta(train.count()), OBS, BASE)
-    q = v.casts.select(F.col("cast_id").alias("query_id"), "lat", "lon", "dt", (F.unix_date("dt") * 86400.0 + 43200.0).alias("ts"))
-    out = models.score(q, v.grid, v.obs.withColumn("ts", seconds("obs_time")), model, ["sst_c"])
+    out = models.score(score_points(v), v.grid, v.obs.withColumn("ts", seconds("obs_time")), sst_model(v), ["sst_c"])
     return out.withColumn("dt", F.col("dt").cast("string"))
 
 
-@query("m20_score_raw", SCORE_SQL.replace("n.tchp + 1.5 AS corrected_tchp, n.tchp + 1.5 AS best_tchp", "CAST(NULL AS DOUBLE) AS corrected_tchp, n.tchp AS best_tchp"),
-       "grid_distance_km model_tchp corrected_tchp best_tchp nearest_support_km")
+@query("m20_score_raw", SCORE_SQL.format(delta="CAST(NULL AS DOUBLE)"), SCORE_NUMBERS)
 def _(v):
-    q = v.casts.select(F.col("cast_id").alias("query_id"), "lat", "lon", "dt", (F.unix_date("dt") * 86400.0 + 43200.0).alias("ts"))
-    out = models.score(q, v.grid, v.obs.withColumn("ts", seconds("obs_time")), None, [])
+    out = models.score(score_points(v), v.grid, v.obs.withColumn("ts", seconds("obs_time")), None, [])
     return out.withColumn("dt", F.col("dt").cast("string"))
 
 
+@query("m20_support_list", f"""WITH {NEAR_SQL} SELECT query_id, rank, obs_id, platform, obs_value, obs_lat, obs_lon, km AS distance_km, gap AS time_delta_h FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY km, gap, obs_id) AS rank FROM s WHERE km <= 200) t WHERE rank <= 10""", "obs_value obs_lat obs_lon distance_km time_delta_h")
+def _(v):
+    out = models.support_list(score_points(v), v.obs.withColumn("ts", seconds("obs_time")), carry=["platform", "obs_value"])
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("m19_frozen_bundle", f"""WITH {SST_RIDGE} SELECT (SELECT count(*) FROM {PAIRS} t WHERE {TRAIN}) AS rows, (SELECT count(DISTINCT platform) FROM {PAIRS} t WHERE {TRAIN}) AS platforms,
+  (SELECT string_agg(DISTINCT event, ',' ORDER BY event) FROM {PAIRS} t WHERE {TRAIN}) AS events, (SELECT strftime(min(obs_date), '%Y-%m-%d') FROM {PAIRS} t WHERE {TRAIN}) AS first_date,
+  (SELECT strftime(max(obs_date), '%Y-%m-%d') FROM {PAIRS} t WHERE {TRAIN}) AS last_date, 'sst_c' AS features, month, count(*) AS scored, avg(p + my + b*(sst_c - mx)) AS pred FROM {PAIRS} t, r WHERE year >= 1999 GROUP BY month""", "pred", digits=4)
+def _(v):
+    """Saved with its metadata, read back, and used."""
+    path = f"{shared_folder(v.spark)}/bundle-{uuid.uuid4().hex}"
+    models.freeze_bundle(sst_model(v), table(v).where(TRAIN), path, features=["sst_c"], obs=OBS)
+    model, meta = models.load_bundle(v.spark, path)
+    scored = models.predict_delta(model, table(v).where(TEST), ["sst_c"], BASE).groupBy("month").agg(F.count(F.lit(1)).alias("scored"), F.avg("pred").alias("pred"))
+    facts = meta.select(F.struct("rows", "platforms", F.array_join("events", ",").alias("events"), "first_date", "last_date", "features")).scalar()
+    return scored.withColumn("_m", facts).select("_m.*", "month", "scored", "pred")
+
+
 @query("m21_limited_layer", """SELECT strftime(dt, '%Y-%m-%d') AS dt, 'd26' AS layer, lat, lon, d26 AS value FROM fx_grid WHERE y % 2 = 0 AND x % 2 = 0 AND sst_c IS NOT NULL AND d26 IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY dt ORDER BY y, x) <= 9""", "lat lon value")
 def _(v):
     return models.corrected_layer("d26", v.grid, stride=2, limit=9).withColumn("dt", F.col("dt").cast("string"))
 
 
-@query("m21_corrected_layer", """WITH g AS (SELECT *, CASE WHEN (y + x) % 4 <> 0 THEN lat/10.0 - 3.0 END AS correction FROM fx_grid WHERE y % 2 = 0 AND x % 2 = 0 AND sst_c IS NOT NULL), l AS (
+@query("m21_corrected_layer", f"""WITH {SST_RIDGE}, g AS (SELECT fx_grid.*, CASE WHEN abs(lat) <= 20 AND tchp IS NOT NULL THEN my + b*(sst_c - mx) END AS correction FROM fx_grid, r WHERE y % 2 = 0 AND x % 2 = 0 AND sst_c IS NOT NULL), l AS (
   SELECT dt, 'tchp' AS layer, lat, lon, tchp AS value FROM g UNION ALL SELECT dt, 'd26', lat, lon, d26 FROM g UNION ALL SELECT dt, 'correction', lat, lon, correction FROM g UNION ALL
   SELECT dt, 'corrected', lat, lon, coalesce(tchp + correction, tchp) FROM g UNION ALL SELECT dt, 'observations', lat, lon, obs_value FROM fx_obs)
-  SELECT strftime(dt, '%Y-%m-%d') AS dt, layer, lat, lon, value FROM l WHERE value IS NOT NULL""", "lat lon value")
+  SELECT strftime(dt, '%Y-%m-%d') AS dt, layer, lat, lon, value FROM l WHERE value IS NOT NULL""", "lat lon value", digits=4)
 def _(v):
-    grid = v.grid.withColumn("correction", F.when((F.col("y") + F.col("x")) % 4 != 0, F.col("lat") / 10.0 - 3.0))
+    """The model corrects up to 20 degrees from the equator; beyond, the corrected layer falls back to the raw value."""
+    grid = models.cell_corrections(v.grid, sst_model(v), ["sst_c"]).withColumn("correction", F.when(F.abs("lat") <= 20, F.col("correction")))
     parts = [models.corrected_layer(k, grid, stride=2, correction="correction", observations=v.obs) for k in models.LAYER_KINDS]
     return filters.union_tables(*parts).withColumn("dt", F.col("dt").cast("string"))
 

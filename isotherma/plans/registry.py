@@ -55,3 +55,10 @@ def hav(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     """SQL text of the great-circle distance, rounded as the spatial joins round it."""
     return (f"round(2*6371.0*asin(sqrt(greatest(0.0, least(1.0, pow(sin(radians({lat2}-{lat1})/2), 2)"
             f" + cos(radians({lat1}))*cos(radians({lat2}))*pow(sin(radians({lon2}-{lon1})/2), 2))))), 6)")
+
+
+def ridge_sql(x: str, y: str, w: str, n: int) -> str:
+    """Slope and intercept, in SQL, of a ridge on two features with penalty 1."""
+    sxx, szz, sxz, sxy, szy = (f"covar_pop({a}, {b})*count(*)" for a, b in ((x, x), (w, w), (x, w), (x, y), (w, y)))
+    det = f"(({sxx} + 1)*({szz} + 1) - {sxz}*{sxz})"
+    return f"(({szz} + 1)*{sxy} - {sxz}*{szy})/{det} AS bx{n}, (({sxx} + 1)*{szy} - {sxz}*{sxy})/{det} AS bz{n}, avg({x}) AS mx{n}, avg({w}) AS mz{n}, avg({y}) AS my{n}"

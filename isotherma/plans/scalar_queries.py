@@ -218,6 +218,15 @@ def _(v):
     return rows.select(F.col("dt").cast("string").alias("dt"), "y", "x", "sst_c")
 
 
+@query("p10_require_columns", " UNION ALL ".join(f"SELECT '{n}' AS recipe, count(*) AS rows FROM fx_casts WHERE {c} IS NOT NULL" for n, c in (("model", "model_tchp + model_d26 + ssh_m"), ("observed", "obs_tchp + obs_d26"))))
+def _(v):
+    """Complete rows of each recipe that the table can serve; one that only lacks an optional column is skipped."""
+    recipes = {"model": ["model_tchp", "model_d26", "ssh_m"], "observed": ["obs_tchp", "obs_d26"], "climatology": ["model_tchp", "clim_tchp"]}
+    usable = {n: c for n, r in recipes.items() if (c := flt.require_columns(v.casts, r, ["clim_tchp"]))}
+    counts = F.array(*[F.struct(F.lit(n).alias("recipe"), F.count_if(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in r))).alias("rows")) for n, r in usable.items()])
+    return v.casts.agg(counts.alias("_c")).select(F.inline("_c"))
+
+
 @query("p09_stride_thin_limited", """SELECT strftime(dt, '%Y-%m-%d') AS dt, y, x, sst_c FROM fx_grid WHERE y % 2 = 0 AND x % 2 = 0 AND sst_c IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY dt ORDER BY y, x) <= 7""", "sst_c")
 def _(v):

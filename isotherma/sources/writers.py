@@ -47,6 +47,13 @@ def known_keys(spark: SparkSession, target: str, key: str, touched: Sequence[int
     return spark.read.parquet(target).where(F.col("key_bucket").isin(*touched)).select("key_bucket", key)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int = KEY_BUCKETS) -> DataFrame:
+    """A table of the catalog in buckets of the key. Tables with as many buckets join on the key without a shuffle, and a lookup of
+    given keys reads their buckets only."""
+    df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 TILE_DEGREES = 10
 
 

@@ -39,3 +39,35 @@ def test_sets_folds_and_missing_values(spark):
     left = [c for c in names if c not in {r["removed"] for r in trail}]
     errors = np.concatenate([(plain(x[:, [names.index(c) for c in left]], y, fold != f) - y)[fold == f] for f in (1, 2, 3)])
     assert trail[-1]["mae"] == pytest.approx(np.abs(errors).mean())
+
+
+def test_spark_ml_ridge_has_the_same_penalty(spark):
+    from pyspark.sql import functions as F
+
+    from isotherma.operators import models
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=80)
+    rows = [(float(a), float(3 * a + e), 0.0) for a, e in zip(x, rng.normal(size=80))]
+    df = spark.createDataFrame(rows, "x double, obs double, base double")
+    fitted = models.fit_delta(df, ["x"], models.ridge_delta(df, "obs", "base", 20.0), "obs", "base").stages[-1]
+    m = ridge.moments(df.withColumn("_delta", F.col("obs") - F.col("base")).withColumn("_all", F.lit(True)), ["x"], "_delta", ["_all"])
+    slopes, _ = m.solve(0, ["x"], 20.0)
+    assert fitted.coefficients[0] == pytest.approx(slopes[0], rel=1e-9)
+
+
+def test_held_out_events_are_not_learned_from(spark):
+    from isotherma.operators import ridge
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=90)
+    event = np.array(["a", "b", None])[np.arange(90) % 3]
+    y = 2 * x + (event == "a") * 5.0
+    df = spark.createDataFrame([(float(a), float(b), 0.0, e) for a, b, e in zip(x, y, event.tolist())], "x double, obs double, base double, event string")
+    got = {r["held_out"]: r for r in ridge.leave_one_event_out(df, "event", ["x"], obs="obs", base="base").collect()}
+    assert set(got) == {"a", "b"} and got["a"]["rows"] == 30
+    for e in "ab":
+        errors = (plain(x[:, None], y, event != e) - y)[event == e]
+        assert got[e]["mae"] == pytest.approx(np.abs(errors).mean())
+    with pytest.raises(ValueError):
+        ridge.leave_one_event_out(df.where("event = 'a'"), "event", ["x"], obs="obs", base="base")

@@ -138,7 +138,7 @@ def test_oof_has_no_leak_and_adds_the_base(spark, views):
     roles = splits.forward_folds(rows, "obs_date").cache()
     leak = roles.where("role = 'train'").alias("a").join(roles.where("role = 'validation'").alias("b"), ["obs_date", "fold"])
     assert leak.count() == 0
-    oof = models.oof_predict(rows.withColumn("obs_tchp", F.col("model_tchp") + 2.0), roles, "obs_date", ["ssh_m", "mlt_m"], models.ridge_delta(500), obs="obs_tchp", base="model_tchp")
+    oof = models.oof_predict(rows.withColumn("obs_tchp", F.col("model_tchp") + 2.0), roles, "obs_date", ["ssh_m", "mlt_m"], lambda train: models.ridge_delta(train, "obs_tchp", "model_tchp"), obs="obs_tchp", base="model_tchp")
     assert oof.where(F.abs(F.col("pred") - F.col("model_tchp") - 2.0) > 1e-6).count() == 0
     assert oof.count() == rows.join(roles.where("role = 'validation'"), "obs_date").count()
 
@@ -196,3 +196,41 @@ def test_one_column_or_many_make_the_same_exchanges(views):
         return correlation_table(views.casts, features, "obs_tchp")._jdf.queryExecution().sparkPlan().toString().count("Join")
 
     assert exchanges(["ssh_m"]) == exchanges(["ssh_m", "mlt_m", "sst_c", "model_tchp"])
+
+
+def test_append_reads_the_buckets_of_its_batch_only(spark, tmp_path):
+    target = str(tmp_path / "t")
+    df = spark.range(2000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
+    writers.append_new(df, target, "k")
+    known = writers.known_keys(spark, target, "k", [3])
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(key_bucket" in plan and len(known.inputFiles()) < len(spark.read.parquet(target).inputFiles()) / 20
+    writers.append_new(df.limit(5).withColumn("v", F.lit(2)), target, "k")  # as after a failure
+    assert spark.read.parquet(target).agg(F.count("*"), F.sum("v")).first() == (2000, 2000)
+
+
+def test_profile_store_is_joined_without_a_shuffle(spark, tmp_path):
+    levels = spark.createDataFrame([(i, float(z), 30.0 - z / 10) for i in range(40) for z in (0, 20, 40, 60)] + [(50, 0.0, 20.0), (50, 9.0, 19.0)], "cast_id long, depth_m double, temp_c double")
+    pairs = spark.createDataFrame([(i, 0.5 * i if i % 2 else None) for i in range(0, 60, 5)] + [(3, -1e9)], "cast_id long, predicted_delta double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keep = lambda df, name: writers.write_bucketed(df, f"t_{name}", str(tmp_path / name), "cast_id", 8)
+        observed, model, scalars = keep(levels, "seen"), keep(levels, "model"), keep(joins.profile_scalars(pairs, levels, levels), "scalars")
+        out = joins.profile_lookup(scalars, observed, model)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        one = scalars.where("cast_id = 3")._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: 1 out of 8" in one
+        got = {(r["cast_id"], r["profile"], r["depth_m"]): r["temp_c"] for r in out.collect()}
+        facts = {r["cast_id"]: r for r in scalars.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("seen", "model", "scalars"):
+            spark.sql(f"DROP TABLE IF EXISTS t_{name}")
+    assert facts[5]["correction_source"] == "ml_correction" and facts[10]["correction_source"] == "raw" and facts[10]["correction_delta_kj_cm2"] is None
+    assert facts[55]["model_tchp_kj_cm2"] is None and facts[50]["model_tchp_kj_cm2"] is None and facts[55]["correction_source"] == "raw"
+    factor = facts[5]["corrected_tchp_kj_cm2"] / facts[5]["model_tchp_kj_cm2"]
+    assert got[5, "corrected", 0.0] == pytest.approx(26 + 4 * factor) and got[5, "corrected", 60.0] == got[5, "model", 60.0] == 24.0
+    assert got[10, "corrected", 0.0] == got[10, "observed", 0.0] == 30.0
+    assert facts[3]["corrected_tchp_kj_cm2"] == 0.0 and got[3, "corrected", 0.0] == 26.0  # not below 0
+    assert got[50, "corrected", 0.0] == 20.0 and not any(k[0] == 55 for k in got)
