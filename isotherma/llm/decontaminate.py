@@ -3,11 +3,14 @@
 Words are runs of letters, marks and digits, lower-cased. A window is as many words of a document as an item has, placed where a shingle
 of five words of the document lines up with one of an item; a window without any such shingle cannot be similar. A place beyond the document's
 edge is moved to the edge, and a document shorter than the item is one window, so items cut at an edge are found. Each window and each item
-gets a 128-bit SimHash of its shingles. The fingerprints are cut into 32 blocks of 4 bits: two that differ in at most 31 bits agree
-in a block, so looking up items of the same size by block finds all within that radius. At a similarity of 0.8 SimHashes differ by 19 bits on
-average with a deviation of 4, so blocks of more bits would lose pairs; the size of the window in the key does the most to tell items apart.
+gets a 128-bit SimHash of its shingles. The fingerprints are cut into 8 blocks of 16 bits. Of two that differ in at most 31 bits, some block differs
+in at most 3, as 8 blocks of 4 would make 32. So each item is entered under all values within 3 flips of each of its blocks, 5,576 in all, each
+window is looked up under its own 8, and all items of its size within the radius are found; of two unrelated prints a block agrees with a
+chance of 1 in 94. At a similarity of 0.8 SimHashes differ by 19 bits on average with a deviation of 4.
 What is found is verified by the exact weighted similarity of the shingles: a shingle weighs as often as it occurs.
 
+A window of a text grows with its item, whatever the text, so very long texts only have more of them.
+
 All of it is DataFrame operations.
 """
 
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 WORDS = 5  # of a shingle; fewer in items that have fewer
-BLOCKS, BLOCK_BITS = 32, 4  # 128 bits
-RADIUS = BLOCKS - 1
+BLOCKS, BLOCK_BITS = 8, 16  # 128 bits
+FLIPS = 3  # of a block, under which items are entered
+RADIUS = BLOCKS * (FLIPS + 1) - 1
 PERCENT = 80
 BROADCAST_SHINGLES = 500_000  # of items, 16 bytes each; more are joined by a shuffle
 
@@ -37,18 +41,34 @@ def shingles_of(words: Column, size: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)]))
 
 
-def simhash(shingles: Column) -> Column:
-    """The 32 blocks of the fingerprint. Bit b is set if most of the shingles' hashes have it."""
+def simhash(df: DataFrame, shingles: str = "shingles", out: str = "fingerprint") -> DataFrame:
+    """``df`` with the blocks of the fingerprint. Bit b is set if most of the shingles' hashes have it; two hashes of 64 bits per shingle."""
+    halves = ["_half_0", "_half_1"]
+    hashed = lambda salt: F.transform(shingles, lambda x: F.xxhash64(F.lit(salt), x))
+    rows = df.withColumns({h: hashed(salt) for salt, h in enumerate(halves)})
 
-    def half(salt: int, b: int) -> Column:
-        ones = F.aggregate(shingles, F.lit(0), lambda n, h: n + F.getbit(F.xxhash64(F.lit(salt), h), F.lit(b)).cast("int"))
+    def bit(b: int) -> Column:
+        ones = F.aggregate(halves[b // 64], F.lit(0), lambda n, h: n + F.getbit(h, F.lit(b % 64)).cast("int"))
         return F.when(2 * ones > F.size(shingles), 1).otherwise(0)
 
     def block(k: int) -> Column:
-        bits = [half(k * BLOCK_BITS // 64, (k * BLOCK_BITS + j) % 64) for j in range(BLOCK_BITS)]
-        return sum((bit * (1 << j) for j, bit in enumerate(bits[1:], 1)), bits[0])
+        bits = [bit(k * BLOCK_BITS + j) for j in range(BLOCK_BITS)]
+        return sum((x * (1 << j) for j, x in enumerate(bits[1:], 1)), bits[0])
+
+    return rows.withColumn(out, F.array(*[block(k) for k in range(BLOCKS)])).drop(*halves)
+
 
-    return F.array(*[block(k) for k in range(BLOCKS)])
+def candidates(prints: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct (window, _item) of one size whose fingerprints have a block that differs in at most ``FLIPS`` bits; holds all pairs within the radius.
+
+    ``prints`` has window, size and fingerprint, ``items`` _item, size and fingerprint. The index grows with the items alone.
+    """
+    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda m: F.bit_count(m) <= FLIPS)
+    entered = items.select("_item", "size", "fingerprint").distinct().select("_item", "size", F.posexplode("fingerprint").alias("_block", "_own"))
+    entered = entered.withColumn("_flip", F.explode(masks)).select("_item", "size", "_block", F.col("_own").bitwiseXOR(F.col("_flip")).alias("_value"))
+    looked_up = prints.select("window", "size", F.posexplode("fingerprint").alias("_block", "_value"))
+    # a merge join, as the planner cannot know how many rows the flips make
+    return looked_up.join(entered.hint("merge"), ["size", "_block", "_value"]).select("window", "_item").distinct()
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -109,14 +129,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     give one row per item. Items that repeat an id count as one item, those with a NULL id likewise. Empty tables give an empty result.
     Other columns are not read.
     """
-    items = stored(item_table(benchmark.select("item_id", "text")), "leak-items").withColumn("fingerprint", simhash(F.col("shingles")))
-    items = stored(items, "leak-fingerprints")
+    items = stored(simhash(stored(item_table(benchmark.select("item_id", "text")), "leak-items")), "leak-fingerprints")
     spans = stored(windows(docs, items, id_col, text_col), "leak-windows")
-    prints = spans.groupBy("size", "shingles").agg(F.count("*").alias("_n")).drop("_n").withColumn("fingerprint", simhash(F.col("shingles")))
+    prints = simhash(spans.groupBy("size", "shingles").agg(F.count("*").alias("_n")).drop("_n"))
     prints = stored(prints.withColumn("window", F.xxhash64("size", "shingles")), "leak-prints")
-    blocks = lambda df, *cols: df.select(*cols, "size", F.posexplode("fingerprint").alias("_block", "_value"))
-    near = blocks(prints, "window").join(blocks(items.withColumn("_item", F.xxhash64("size", "shingles")), "_item").distinct(), ["size", "_block", "_value"])
-    pairs = near.select("window", "_item").distinct()
+    pairs = candidates(prints, items.withColumn("_item", F.xxhash64("size", "shingles")))
     sides = pairs.join(prints.select("window", "shingles", "fingerprint"), "window").join(
         items.select(F.xxhash64("size", "shingles").alias("_item"), F.col("shingles").alias("_other"), F.col("fingerprint").alias("_print")).dropDuplicates(["_item"]), "_item")
     close = sides.where(distance(F.col("fingerprint"), F.col("_print")) <= RADIUS).withColumn("similarity", similarity(F.col("shingles"), F.col("_other")))

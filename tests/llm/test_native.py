@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import uuid
 
@@ -197,8 +198,40 @@ def test_decontamination_edges(spark, make):
     assert decontaminate.without_leaks(make(rows).limit(0), items).count() == 0
 
 
-def test_all_fingerprints_within_the_radius_share_a_block():
-    assert decontaminate.RADIUS < decontaminate.BLOCKS and decontaminate.BLOCKS * decontaminate.BLOCK_BITS == 128
+def test_all_fingerprints_within_the_radius_are_candidates_and_few_others(spark):
+    assert decontaminate.RADIUS < decontaminate.BLOCKS * (decontaminate.FLIPS + 1) and decontaminate.BLOCKS * decontaminate.BLOCK_BITS == 128
+    rng = random.Random(5)
+    items = [[rng.getrandbits(16) for _ in range(8)] for _ in range(40)]
+    prints = []
+    for k in range(120):
+        flips = (31, 20, 64)[k % 3]
+        own = list(items[k % 40])
+        for bit in rng.sample(range(128), flips) if k % 2 else [8 * b + j + 8 * b for b in range(8) for j in range(4)][:flips]:  # the last: as even as can be
+            own[bit // 16] ^= 1 << bit % 16
+        prints.append(own)
+    prints += [[rng.getrandbits(16) for _ in range(8)] for _ in range(400)]
+    table = lambda rows, name: spark.createDataFrame([(i, 20, r) for i, r in enumerate(rows)], f"{name} long, size int, fingerprint array<int>")
+    got = {tuple(r) for r in decontaminate.candidates(table(prints, "window"), table(items, "_item")).collect()}
+    apart = lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(a, b))
+    near = {(w, i) for w, p in enumerate(prints) for i, own in enumerate(items) if apart(p, own) <= decontaminate.RADIUS}
+    want = {(w, i) for w, p in enumerate(prints) for i, own in enumerate(items) if min(bin(x ^ y).count("1") for x, y in zip(p, own)) <= 3}
+    assert len(near) >= 80 and near <= got and got == want
+    assert len(got - near) < 0.12 * len(prints) * len(items)
+
+
+def test_words_changed_inside_an_item(spark, make, words):
+    items = [(1, " ".join(words(901, 40))), (2, " ".join(words(902, 60)))]
+    rows = []
+    for k in range(24):
+        own = words(901 + k % 2, (40, 60)[k % 2])
+        for at in range(5, 5 + 10 * (k // 6), 10):
+            own[at] = f"changed{k}"
+        rows.append((k, " ".join(words(k, 30) + own + words(k + 50, 30))))
+    out = decontaminate.leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc"], r["item_id"]): r["similarity"] for r in out}
+    want = best_windows(rows, items)
+    assert got.keys() == want.keys() and len(want) == 9  # five of 36 shingles changed are too many, five of 56 are not
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_slot_table_by_turns():
