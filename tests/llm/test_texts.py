@@ -3,12 +3,16 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
+import re
+import struct
 import uuid
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from isotherma.llm import components, elias_fano, importance, line_chunks, rarity_digest, superminhash, token_files, warc_bundles
 from isotherma.llm.words import shingle_sets
@@ -206,6 +210,64 @@ def test_importance_edges(spark, make, words):
     assert importance.resample(make(rows).limit(0), known).count() == 0
 
 
+def brute_importance(rows, good, known, seed=29):
+    """Scores and kept keys by plain counting of the n-grams themselves."""
+    def grams(text):
+        whole = re.sub(r"[ \t\n]+", " ", text.lower() + "\n")
+        out = [whole[i:i + n] for n in importance.GRAMS for i in range(len(whole) - n + 1)]
+        w, run = text.lower().split(), 0
+        for x, y in itertools.pairwise(w):
+            run = run + 1 if x == y else 0
+            out.append(("again", min(run, importance.RUNS)) if run else (x, y))
+        return out
+
+    found = [grams(t) for _, t in rows]
+    n, g = (collections.Counter(f for (doc, _), own in zip(rows, found) if some is None or doc in some for f in set(own)) for some in (None, good))
+    n_good = sum(doc in good for doc, _ in rows)
+
+    def ratio(f):
+        a, b = g[f] + 0.5, n[f] + 0.5
+        return min(0.0, math.log(a / (n_good + 1)) - math.log(b / (len(rows) + 1)) + importance.ERRORS * math.sqrt(1 / a + 1 / b))
+
+    scores = [sum(map(ratio, own)) * min(1, importance.TYPICAL / max(1, len(t))) for (_, t), own in zip(rows, found)]
+
+    def key(doc, text, score):
+        h = 42
+        for part in (struct.pack("<i", seed), struct.pack("<q", doc), text.encode()):
+            h = xxhash.xxh64_intdigest(part, h)
+        return score - math.log(-math.log(((h >> 11) + 0.5) / 2**53))
+
+    keys = [key(d, t, x) for (d, t), x in zip(rows, scores)]
+    marked = sorted((x, known[d]) for (d, _), x in zip(rows, scores) if d in known)
+    least = sorted({x for x, _ in marked})
+    worth = lambda c: (sum(x >= c for x, ok in marked if ok) / sum(ok for _, ok in marked)
+                       + sum(x < c for x, ok in marked if not ok) / sum(not ok for _, ok in marked))
+    at = max(range(len(least)), key=lambda i: (round(worth(least[i]), 12), -i))
+    cut = (least[at] + least[at - 1]) / 2 if at else -math.inf
+    k = sum(x >= cut for x in scores)
+    return scores, keys, sorted(keys)[-k], k
+
+
+def test_importance_is_that_of_plain_counts(spark, make, words):
+    few = words(1, 14)
+    rng = random.Random(8)
+    bad = ["#buy#", "now!!", "$$$"]
+    rows = []
+    for i in range(240):
+        own = rng.choices(few, k=rng.randint(3, 12)) + (rng.choices(bad, k=6) if i % 3 == 0 else [])
+        rows.append((i, (" ", "  ", "\n")[i % 3].join(own).title()))
+    rows += [(500, "  ".join(rng.choices(few, k=400))), (501, " ".join(bad * 120)), (502, "x x x x x " + " ".join(few)), (3, rows[3][1]), (4, rows[4][1]), (4, rows[4][1]), (503, "")]
+    labels = [(i, int(i % 3 > 0), int(i == 4)) for i in range(0, 240, 2)]
+    good = {i for i, quality, toxic in labels if quality and not toxic}
+    scores, keys, least, k = brute_importance(rows, good, {i: i in good for i, _, _ in labels})
+    out = importance.resample(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    want = sorted((d, x, y, y >= least) for (d, _), x, y in zip(rows, scores, keys))
+    got = sorted((r["doc_id"], r["score"], r["gumbel_key"], r["kept"]) for r in out)
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[3] for g in got] == [w[3] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-4) and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-4)
+    assert k <= sum(g[3] for g in got) < len(rows) and min(x for _, x, _, _ in want) < 0
+
+
 def test_threshold_is_exact(spark):
     values = [random.Random(3).gauss(0, 1) for _ in range(500)] + [1.0] * 40 + [-1e9, 1e9]
     df = spark.createDataFrame([(v,) for v in values], "_key double")
