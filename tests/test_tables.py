@@ -220,12 +220,14 @@ def test_profile_store_is_joined_without_a_shuffle(spark, tmp_path):
         observed, model, scalars = keep(levels, "seen"), keep(levels, "model"), keep(joins.profile_scalars(pairs, levels, levels), "scalars")
         out = joins.profile_lookup(scalars, observed, model)
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that the plan names the buckets
         one = scalars.where("cast_id = 3")._jdf.queryExecution().executedPlan().toString()
         assert "SelectedBucketsCount: 1 out of 8" in one
         got = {(r["cast_id"], r["profile"], r["depth_m"]): r["temp_c"] for r in out.collect()}
         facts = {r["cast_id"]: r for r in scalars.collect()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
         for name in ("seen", "model", "scalars"):
             spark.sql(f"DROP TABLE IF EXISTS t_{name}")
     assert facts[5]["correction_source"] == "ml_correction" and facts[10]["correction_source"] == "raw" and facts[10]["correction_delta_kj_cm2"] is None
